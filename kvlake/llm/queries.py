@@ -1,9 +1,13 @@
 """The training-data queries: one opN_<name> for each operator, over its whole table."""
 
+from kvlake.llm.bpe import op2_bpe
+from kvlake.llm.packing import op10_packing
 from kvlake.llm.sharding import op1_sharding
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_bpe": op2_bpe,
+    "op10_packing": op10_packing,
 }
 
 #: None of these operators can be said in SQL; tests hold them against brute force instead.
