@@ -3,10 +3,12 @@
 from kvlake.llm.bpe import op2_bpe
 from kvlake.llm.packing import op10_packing
 from kvlake.llm.sharding import op1_sharding
+from kvlake.llm.winnowing import op7_fingerprints
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_bpe": op2_bpe,
+    "op7_fingerprints": op7_fingerprints,
     "op10_packing": op10_packing,
 }
 

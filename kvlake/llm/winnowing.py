@@ -1,7 +1,8 @@
 """Document fingerprints by winnowing, in DataFrame and SQL functions only.
 
 A text is cut at white space into words (words of more than 32 characters further into runs of eight, so text without
-spaces has grams as well).  Every run of ``k`` words has a 64-bit hash; of every ``window`` adjacent grams the lowest
+spaces has grams as well).  Every run of ``k`` words has a 64-bit gear hash
+(a rolling hash of the words' own hashes); of every ``window`` adjacent grams the lowest
 hash is kept, the rightmost on ties, with its position.  Any passage of ``k + window - 1`` equal words is therefore
 found in both fingerprints.  A text with fewer words is one gram; one with fewer grams is one window; a text without
 words (null, empty, blank) has an empty fingerprint, which is like another empty one (1.0) and unlike any other (0.0).
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Words a gram and grams a window.
 K, WINDOW = 4, 16
+#: Bits by which a newer word moves the hash of older ones.
+SHIFT = 5
 #: Windows of a block, and the bits of a position in it.
 BLOCK, BITS = 240, 10
 LOW = (1 << BITS) - 1
@@ -45,31 +48,42 @@ def fingerprint(text: Column, k: int = K, window: int = WINDOW) -> Column:
     """array<struct<h: bigint, p: int>>: the kept grams, by position.  ``window`` must be a power of two."""
     assert window & (window - 1) == 0 and window >= 1, "the window is a power of two"
 
-    def halves_by(step: int):
-        def halves(values: Column) -> Column:
+    def folded(step: int, both, alone):
+        """From values of spans to values of spans longer by ``step``; where there are no such spans, one of all."""
+
+        def fold(values: Column) -> Column:
             rest = F.size(values) - step
-            pairs = F.zip_with(F.slice(values, F.lit(1), rest), F.slice(values, F.lit(step + 1), rest), lambda a, b: F.least(a, b))
-            return F.when(rest <= 0, F.array(F.array_min(values))).otherwise(pairs)
+            return F.when(rest <= 0, F.array(alone(values))).otherwise(F.zip_with(F.slice(values, F.lit(1), rest), F.slice(values, F.lit(step + 1), rest), both))
+
+        return fold
 
-        return halves
+    def grams_of(words: Column) -> Column:
+        grams, span = F.transform(words, lambda w: F.xxhash64(w)), 1
+        while span < k:
+            step = min(span, k - span)
+            # A gear hash: older words move up, by SHIFT for each newer one.  Overlapping spans only mix more.
+            grams, span = _let(grams, folded(step, _gear(step), lambda _: F.xxhash64(words))), span + step
+        return grams
 
-    def block(words: Column, start: Column) -> Column:
-        grams = F.greatest(F.size(words) - k + 1, F.lit(1))
-        many = F.least(grams - start, F.lit(BLOCK + window - 1))
-        values = F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.shiftleft(F.xxhash64(F.slice(words, start + i + 1, F.lit(k))), BITS).bitwiseOR((F.lit(LOW) - i).cast("long")))
+    def block(grams: Column, start: Column) -> Column:
+        values = F.transform(F.slice(grams, start + 1, F.lit(BLOCK + window - 1)), lambda g, i: F.shiftleft(g, BITS).bitwiseOR((F.lit(LOW) - i).cast("long")))
         step = 1
         while step < window:
-            values = _let(values, halves_by(step))
+            values = _let(values, folded(step, lambda a, b: F.least(a, b), F.array_min))
             step *= 2
         return F.transform(F.array_distinct(values), lambda v: F.struct(F.shiftrightunsigned(v, BITS).alias("h"), (start + F.lit(LOW) - v.bitwiseAND(F.lit(LOW))).cast("int").alias("p")))
 
-    def whole(words: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - k - window + 1, F.lit(0)), F.lit(BLOCK))
+    def whole(grams: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(grams) - window, F.lit(0)), F.lit(BLOCK))
         # The last gram kept by a block can be the first of the next one.
-        return _let(F.flatten(F.transform(starts, lambda s: block(words, s))), lambda kept: F.filter(kept, lambda g, i: (i == 0) | (g["p"] != F.get(kept, i - 1)["p"])))
+        return _let(F.flatten(F.transform(starts, lambda s: block(grams, s))), lambda kept: F.filter(kept, lambda g, i: (i == 0) | (g["p"] != F.get(kept, i - 1)["p"])))
 
     none = F.array().cast("array<struct<h:bigint,p:int>>")
-    return _let(words_of(text), lambda w: F.when(F.size(w) == 0, none).otherwise(whole(w)))
+    return _let(words_of(text), lambda w: F.when(F.size(w) == 0, none).otherwise(_let(grams_of(w), whole)))
+
+
+def _gear(words: int):
+    return lambda older, newer: F.shiftleft(older, SHIFT * words).bitwiseXOR(newer)
 
 
 def likeness(a: Column, b: Column) -> Column:
