@@ -1,6 +1,7 @@
 """The training-data queries: one opN_<name> for each operator, over its whole table."""
 
 from kvlake.llm.bpe import op2_bpe
+from kvlake.llm.jaccard_join import op8_jaccard_join
 from kvlake.llm.packing import op10_packing
 from kvlake.llm.sharding import op1_sharding
 from kvlake.llm.winnowing import op7_fingerprints
@@ -9,6 +10,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_bpe": op2_bpe,
     "op7_fingerprints": op7_fingerprints,
+    "op8_jaccard_join": op8_jaccard_join,
     "op10_packing": op10_packing,
 }
 
