@@ -16,6 +16,8 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
+from kvlake.llm.common import arrow_map
+
 #: Words that a worker remembers between batches.
 REMEMBERED = 400_000
 
@@ -123,7 +125,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(back, pa.string())] + ([pa.array(all_ids, pa.list_(pa.int64()))] if keep_ids else [])
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return arrow_map(docs.select(id_col, text_col), run, schema)
 
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import pathlib
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,27 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
+def ship(spark: SparkSession) -> None:
+    """Put this package on the Python path of the executors, once a session; they need no installation of it."""
+    context = spark.sparkContext
+    if getattr(context, "_kvlake_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parents[2]
+    held = tempfile.mkdtemp(prefix="kvlake-code-")
+    atexit.register(shutil.rmtree, held, ignore_errors=True)
+    with zipfile.ZipFile(path := f"{held}/kvlake-code.zip", "w") as out:
+        for file in sorted(root.glob("kvlake/**/*.py")):
+            out.write(file, file.relative_to(root))
+    context.addPyFile(path)
+    context._kvlake_shipped = True
+
+
+def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow with this package at hand."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvlake.llm.common import materialize, rank_in_groups
+from kvlake.llm.common import arrow_map, materialize, rank_in_groups
 
 #: Rounds at most, the coverage that one adds at most, and how near fillers must be to count as equal.
 ROUNDS = 120
@@ -170,7 +170,7 @@ def cut_pieces(docs: DataFrame, encode, capacity: int, end_id: int, id_col: str
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], names=[id_col, "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return arrow_map(docs.select(id_col, text_col), run, schema)
 
 
 def pack(pieces: DataFrame, capacity: int, id_col: str = "doc_id") -> DataFrame:

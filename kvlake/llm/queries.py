@@ -1,6 +1,8 @@
 """The training-data queries: one opN_<name> for each operator, over its whole table."""
 
 from kvlake.llm.bpe import op2_bpe
+from kvlake.llm.embedding_dedup import op9_embedding_dedup
+from kvlake.llm.html_text import op5_html_text
 from kvlake.llm.jaccard_join import op8_jaccard_join
 from kvlake.llm.packing import op10_packing
 from kvlake.llm.sharding import op1_sharding
@@ -9,8 +11,10 @@ from kvlake.llm.winnowing import op7_fingerprints
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_bpe": op2_bpe,
+    "op5_html_text": op5_html_text,
     "op7_fingerprints": op7_fingerprints,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_packing": op10_packing,
 }
 
