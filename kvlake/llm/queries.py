@@ -4,13 +4,17 @@ from kvlake.llm.bpe import op2_bpe
 from kvlake.llm.embedding_dedup import op9_embedding_dedup
 from kvlake.llm.html_text import op5_html_text
 from kvlake.llm.jaccard_join import op8_jaccard_join
+from kvlake.llm.language import op4_language
 from kvlake.llm.packing import op10_packing
+from kvlake.llm.quality import op3_quality
 from kvlake.llm.sharding import op1_sharding
 from kvlake.llm.winnowing import op7_fingerprints
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_bpe": op2_bpe,
+    "op3_quality": op3_quality,
+    "op4_language": op4_language,
     "op5_html_text": op5_html_text,
     "op7_fingerprints": op7_fingerprints,
     "op8_jaccard_join": op8_jaccard_join,

@@ -26,42 +26,50 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts in order, and where each text's words begin (one more entry than texts)."""
-    joined = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    ends_of_text = np.cumsum([len(t) + 1 for t in texts])
-    space = _SPACE[joined]
-    before = np.empty_like(space)
-    before[0], before[1:] = True, space[:-1]
-    starts = np.flatnonzero(~space & before)
-    if not len(starts):
-        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    lengths = np.flatnonzero(space & ~before) - starts
-    at = np.flatnonzero(~space)
-    first = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    place = np.arange(len(at)) - first
-    values = _BYTE[joined[at]] * _powers(int(lengths.max()))[place]
-    hashes = mix(np.add.reduceat(values, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64))
-    return hashes, np.concatenate([[0], np.searchsorted(starts, ends_of_text)])
+class Words:
+    """The words of several texts in one buffer: hashes, first bytes and lengths, and where each text's words begin."""
+
+    def __init__(self, texts: list[bytes]):
+        self.buffer = joined = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
+        self.ends_of_text = np.cumsum([len(t) + 1 for t in texts])
+        space = _SPACE[joined]
+        before = np.empty_like(space)
+        before[0], before[1:] = True, space[:-1]
+        self.starts = np.flatnonzero(~space & before)
+        self.lengths = np.flatnonzero(space & ~before) - self.starts
+        self.begins = np.concatenate([[0], np.searchsorted(self.starts, self.ends_of_text)])
+        self.hashes = np.empty(0, np.uint64)
+        if len(self.starts):
+            first = np.cumsum(self.lengths) - self.lengths
+            at = np.flatnonzero(~space)
+            place = np.arange(len(at)) - np.repeat(first, self.lengths)
+            values = _BYTE[joined[at]] * _powers(int(self.lengths.max()))[place]
+            self.hashes = mix(np.add.reduceat(values, first) + self.lengths.astype(np.uint64))
 
 
 def shingle_sets(texts: list[str | None], n: int):
     """For each text the sorted distinct hashes of its n-word shingles; of fewer words, one of the whole sequence."""
+    for chunk in chunks((text or "").encode().lower() for text in texts):
+        yield from _sets(chunk, n)
+
+
+def chunks(texts):
+    """Consecutive texts of about CHUNK bytes together."""
     chunk: list[bytes] = []
     size = 0
-    for text in texts:
-        raw = (text or "").encode().lower()
+    for raw in texts:
         if chunk and size + len(raw) > CHUNK:
-            yield from _sets(chunk, n)
+            yield chunk
             chunk, size = [], 0
         chunk.append(raw)
         size += len(raw)
     if chunk:
-        yield from _sets(chunk, n)
+        yield chunk
 
 
 def _sets(texts: list[bytes], n: int):
-    words, begins = word_hashes(texts)
+    found = Words(texts)
+    words, begins = found.hashes, found.begins
     runs = words
     for j in range(1, n):
         runs = mix(runs[: max(len(words) - j, 0)] * _U(3) + words[j:])
