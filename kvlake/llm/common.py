@@ -15,8 +15,16 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Put this package on the Python path of the executors, once a session; they need no installation of it."""
+    """Put this package on the Python path of the executors, once a session; they need no installation of it.
+
+    Also bounds Arrow batches by bytes: texts differ in length by orders of magnitude, so rows say little about memory.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     context = spark.sparkContext
     if getattr(context, "_kvlake_shipped", False):
         return

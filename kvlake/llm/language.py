@@ -205,6 +205,26 @@ def trains() -> Column:
     return F.coalesce(fold("doc_id", 4) != 2, F.lit(False))
 
 
+#: The pipeline drops documents in which no language has this share of the letters.
+KEEP_FROM = 0.4
+
+
+def keep_known(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, that are mostly of one known language."""
+    model = learn(docs, trains())
+    at = docs.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            found = model.label(texts) if model.languages else [("und", 0.0, [])] * len(texts)
+            yield batch.filter(pa.array([lang != "und" and share >= KEEP_FROM for lang, share, _ in found], pa.bool_()))
+
+    return arrow_map(docs, run, docs.schema)
+
+
 def op4_language(spark, sf_dir: str) -> DataFrame:
     from kvlake.llm.common import table
 

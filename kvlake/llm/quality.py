@@ -222,6 +222,23 @@ def fit_on(rows: DataFrame, labels: DataFrame) -> QualityModel:
     return fit(labelled.where(part != 0), part == 1)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents, all columns, whose score reaches KEEP_FROM; texts are read twice and never moved."""
+    from kvlake.llm.common import materialize
+
+    model = fit_on(materialize(describe(docs, ["doc_id"]), "quality-stats"), labels)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = statistics(batch.column(at).to_pylist()).astype(np.float32).astype(float)
+            yield batch.filter(pa.array(model.score(found) >= KEEP_FROM))
+
+    return arrow_map(docs, run, docs.schema)
+
+
 def op3_quality(spark, sf_dir: str) -> DataFrame:
     from kvlake.llm.common import materialize, table
 

@@ -6,6 +6,7 @@ from kvlake.llm.html_text import op5_html_text
 from kvlake.llm.jaccard_join import op8_jaccard_join
 from kvlake.llm.language import op4_language
 from kvlake.llm.packing import op10_packing
+from kvlake.llm.pii import op6_pii
 from kvlake.llm.quality import op3_quality
 from kvlake.llm.sharding import op1_sharding
 from kvlake.llm.winnowing import op7_fingerprints
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_language": op4_language,
     "op5_html_text": op5_html_text,
+    "op6_pii": op6_pii,
     "op7_fingerprints": op7_fingerprints,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_embedding_dedup": op9_embedding_dedup,
