@@ -9,8 +9,9 @@ Two documents link when ``|A n B| / |A u B|`` of their word-shingle sets reaches
 3. Nodes of a key are compared as pairs where they are few.  In a hot key each node is first compared with the node of
    middle size only; then, after components are known, nodes of different components, in blocks.  No pair inside a
    component is emitted.
-4. A candidate pair must fit in size and in a 256-bit parity sketch, whose differing bits never outnumber the differing
-   shingles.  Both tests are exact: they only drop pairs that can't link.
+4. A candidate pair must fit in size and in a parity sketch, whose differing bits never outnumber the differing
+   shingles: first in one of 256 bits, then in the 1024 bits that it was folded from, then in one of as many bits as the
+   set has shingles.  All tests are exact: they only drop pairs that can't link.
 5. What is left is counted: both sets are cut at the same fragments of the hash range, the overlaps of each fragment
    are counted separately and summed per pair.
 
@@ -20,20 +21,25 @@ nothing.  Equal texts and repeated rows share a node.  An empty table gives an e
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvlake.llm.common import materialize
+from kvlake.llm.common import arrow_map, materialize
 from kvlake.llm.components import components
 from kvlake.llm.shingles import mix, shingle_sets
 
 SKETCH_BITS = 16
-PARITY = 256
+#: Bits of the parity sketch of a set, and of its folded form in candidate rows.
+PARITY, FOLDED = 1024, 256
 #: Nodes of a key up to which all its pairs are compared at once, nodes of a block in hot keys.
 FEW, BLOCK = 24, 256
 #: Fragments of the hash range in which overlaps are counted.
 FRAGMENTS = 8
+#: Ids up to which texts are picked by a Bloom filter of BLOOM bits in the scan; beyond, by a join.
+PICKED, BLOOM = 1 << 20, 23
 
 
 def count_buckets(docs: DataFrame, n: int, text_col: str = "text") -> np.ndarray:
@@ -49,7 +55,7 @@ def count_buckets(docs: DataFrame, n: int, text_col: str = "text") -> np.ndarray
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts), dtype=np.int32)), pa.array(counts)], names=["bucket", "n"])
 
     out = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    for bucket, total in docs.select(text_col).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect():
+    for bucket, total in arrow_map(docs.select(text_col), run, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect():
         out[bucket] = total
     return out
 
@@ -63,24 +69,39 @@ def describe(docs: DataFrame, n: int, num: int, den: int, levels: np.ndarray, id
         import pyarrow as pa
 
         for batch in batches:
-            sizes, signs, keys, parity = [], [], [], []
+            sizes, signs, keys, fixed, own = [], [], [], [], []
             for found in shingle_sets(batch.column(1).to_pylist(), n):
                 k = len(found)
                 sizes.append(k)
                 signs.append((int(mix(found).sum(dtype=np.uint64)), int(mix(found * np.uint64(7)).sum(dtype=np.uint64))))
                 order = np.argsort(levels[(found & mask).astype(np.int64)], kind="stable")
                 keys.append(found[order[: k - -(-num * k // den) + 1]] if k else found)
-                bits = np.bincount(((found >> np.uint64(24)) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
-                parity.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
+                fixed.append(parity(found, PARITY).view(np.int64))
+                own.append(parity(found, max(PARITY, 1 << k.bit_length())).tobytes())
             signs = np.array(signs, dtype=np.uint64).reshape(-1, 2).view(np.int64)
             ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
-            sketch = np.array(parity).reshape(-1, words)
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(signs[:, 0]), pa.array(signs[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), *(pa.array(sketch[:, i]) for i in range(words))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "s1", "s2", "keys", *(f"p{i}" for i in range(words))])
+            sketch = np.array(fixed).reshape(-1, words)
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(signs[:, 0]), pa.array(signs[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), *(pa.array(sketch[:, i]) for i in range(words)), pa.array(own, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "s1", "s2", "keys", *(f"w{i}" for i in range(words)), "sketch"])
+
+    schema = "id long, n long, s1 long, s2 long, keys array<long>, " + ", ".join(f"w{i} long" for i in range(words)) + ", sketch binary"
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("id"), text_col), run, schema)
+
 
-    schema = "id long, n long, s1 long, s2 long, keys array<long>, " + ", ".join(f"p{i} long" for i in range(words))
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, schema)
+def parity(found: np.ndarray, bits: int) -> np.ndarray:
+    """Which of ``bits`` (a power of two) the hashes hit an odd number of times, packed in bytes."""
+    hits = np.bincount(((found >> np.uint64(24)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((hits & 1).astype(np.uint8), bitorder="little")
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Differing bits of two parity sketches; the longer is folded to the length of the shorter."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) > len(y):
+        x, y = y, x
+    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -104,41 +125,72 @@ class Join:
         self.rows = materialize(describe(docs, n, num, den, levels, id_col, text_col), "jaccard-rows")
         self.nodes = self.rows.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("node"))
 
-    def fits(self, a: str, b: str):
+    def fits(self, a: str, b: str, sketch: str, bits: int):
         """Conditions that every pair that links meets."""
         low, high = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-        differ = sum((F.bit_count(F.col(f"{a}.p{i}").bitwiseXOR(F.col(f"{b}.p{i}"))) for i in range(PARITY // 64)), F.lit(0))
+        differ = sum((F.bit_count(F.col(f"{a}.{sketch}{i}").bitwiseXOR(F.col(f"{b}.{sketch}{i}"))) for i in range(bits // 64)), F.lit(0))
         most = (F.col(f"{a}.n") + F.col(f"{b}.n")) * (self.den - self.num)
         return (low * self.den >= high * self.num) & (differ * (self.den + self.num) <= most)
 
     def members(self) -> DataFrame:
-        """Rows (key, id, n, sketch, many) of keys with two nodes or more."""
-        sketch = [f"p{i}" for i in range(PARITY // 64)]
+        """Rows (key, id, n, folded sketch, many) of keys with two nodes or more."""
         first = self.nodes.select(F.col("node").alias("id"), "s1", "s2")
-        own = self.rows.join(first, ["id", "s1", "s2"]).select("id", "n", "keys", *sketch)
-        own = materialize(own, "jaccard-nodes")
+        own = materialize(self.rows.join(first, ["id", "s1", "s2"]).drop("s1", "s2"), "jaccard-nodes")
+        part = FOLDED // 64
+        folded = [functools.reduce(lambda x, y: x.bitwiseXOR(y), [F.col(f"w{j}") for j in range(i, PARITY // 64, part)]).alias(f"p{i}") for i in range(part)]
+        self.wide, self.sketches = own.drop("keys", "sketch"), own.select("id", "n", "sketch")
         keyed = own.select(F.explode("keys").alias("key"), "id")
         many = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-        return materialize(keyed.join(many, "key").join(own.drop("keys"), "id"), "jaccard-members")
+        return materialize(keyed.join(many, "key").join(own.select("id", "n", *folded), "id"), "jaccard-members")
+
+    def sets_of(self, wanted: DataFrame) -> DataFrame:
+        """(node, set) of the wanted nodes (column node)."""
+        docs = self.docs.select(F.col(self.id_col).cast("long").alias("node"), F.col(self.text_col).alias("_text"))
+        at = lambda i: F.shiftrightunsigned(F.xxhash64("node"), 20 * i).bitwiseAND(F.lit((1 << BLOOM) - 1))
+        words = None
+        if wanted.count() > PICKED:
+            docs = docs.join(wanted, "node")
+        else:
+            bits = wanted.select(F.explode(F.array(*[at(i) for i in range(3)])).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+            words = np.zeros(1 << (BLOOM - 6), dtype=np.int64)
+            for word, value in bits.collect():
+                words[word] = value
+            docs = docs.select("node", "_text", *[at(i).alias(f"at{i}") for i in range(3)])
+        n = self.n
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                kept = np.ones(batch.num_rows, dtype=bool)
+                for column in batch.columns[2:]:
+                    bit = column.to_numpy()
+                    kept &= (words[bit >> 6] >> (bit & 63)) & 1 == 1
+                batch = batch.filter(pa.array(kept))
+                found = list(shingle_sets(batch.column(1).to_pylist(), n))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(mix(x).sum(dtype=np.uint64).view(np.int64)) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "s1", "set"])
+
+        exact = self.nodes.join(wanted, "node").select("node", "s1")
+        return arrow_map(docs, run, "node long, s1 long, set binary").join(exact, ["node", "s1"]).select("node", "set")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` (a, b) that link, with their overlap and sizes."""
-        n, num, den = self.n, self.num, self.den
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(self.nodes, "node")
-        texts = self.docs.select(F.col(self.id_col).cast("long").alias("node"), F.col(self.text_col).alias("_text")).join(wanted, "node")
+        """Those of ``pairs`` (a, b) that link, with their overlap."""
+        num, den = self.num, self.den
+        near = pairs.join(self.wide.alias("x"), F.col("a") == F.col("x.id")).join(self.wide.alias("y"), F.col("b") == F.col("y.id")).where(self.fits("x", "y", "w", PARITY)).select("a", "b")
+        x, y = (self.sketches.select(F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("sketch").alias(f"s{i}")) for i in "ab")
 
-        def sets(batches):
+        def compare(batches):
             import pyarrow as pa
 
             for batch in batches:
-                keep, out = [], []
-                for i, (sign, found) in enumerate(zip(batch.column(2).to_pylist(), shingle_sets(batch.column(1).to_pylist(), n), strict=True)):
-                    if int(mix(found).sum(dtype=np.uint64).view(np.int64)) == sign:
-                        keep.append(i)
-                        out.append(found.tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(out, pa.binary())], names=["node", "set"])
-
-        found = materialize(texts.select("node", "_text", "s1").mapInArrow(sets, "node long, set binary"), "jaccard-sets")
+                na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+                differ = np.array([differing(a.as_buffer(), b.as_buffer()) for a, b in zip(batch.column(4), batch.column(5), strict=True)], dtype=np.int64)
+                yield batch.filter(pa.array(differ * (den + num) <= (na + nb) * (den - num))).select(["a", "b"])
+
+        near = arrow_map(near.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "sa", "sb"), compare, "a long, b long")
+        pairs = materialize(near, "jaccard-near")
+        wanted = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "jaccard-wanted")
+        found = materialize(self.sets_of(wanted), "jaccard-sets")
         full = pairs.join(found.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
 
         def count(batches):
@@ -155,19 +207,19 @@ class Join:
                 at = pa.array(keep, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(overlaps, pa.int64())], names=["a", "b", "overlap"])
 
-        return materialize(full.mapInArrow(count, "a long, b long, overlap long").distinct(), "jaccard-links")
+        return materialize(arrow_map(full, count, "a long, b long, overlap long").distinct(), "jaccard-links")
 
     def run(self) -> DataFrame:
         """Per document: id, n (set size) and component."""
         members = self.members()
         few, hot = members.where(F.col("many") <= FEW), members.where(F.col("many") > FEW)
         pair = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
-        close = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & self.fits("x", "y")).select(*pair)
+        close = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & self.fits("x", "y", "p", FOLDED)).select(*pair)
         # The middle of the sizes, by a summary of bounded size; ties go to the lowest id.
         middle = hot.groupBy("key").agg(F.percentile_approx("n", 0.5, 100).alias("_mid"))
         pivot = hot.join(middle, "key").where("n = _mid").groupBy("key").agg(F.min("id").alias("_pivot"))
         star = hot.join(pivot, (hot["key"] == pivot["key"]) & (hot["id"] == pivot["_pivot"])).select(hot["*"]).dropDuplicates(["key"])
-        stars = hot.alias("x").join(star.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & self.fits("x", "y")).select(*pair)
+        stars = hot.alias("x").join(star.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & self.fits("x", "y", "p", FOLDED)).select(*pair)
         pairs = materialize(close.union(stars).distinct(), "jaccard-pairs")
         links = self.verify(pairs)
         found = components(links)
@@ -191,7 +243,7 @@ class Join:
         meets = known.withColumn("_meet", F.explode(F.transform(every, lambda o: F.least(o, F.col("_block")) * F.col("_blocks") + F.greatest(o, F.col("_block")))))
         x, y = meets.alias("x"), meets.alias("y")
         on = (F.col("x.key") == F.col("y.key")) & (F.col("x._meet") == F.col("y._meet")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
-        return x.join(y, on & self.fits("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+        return x.join(y, on & self.fits("x", "y", "p", FOLDED)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
