@@ -119,7 +119,7 @@ def multi_get_missing(spark, sf_dir):
     return scan.multi_get_missing(events_kv(spark, sf_dir), _probes(spark))
 
 
-@query("SELECT min(key) AS key FROM latest WHERE key >= 'user:00033'")
+@query("SELECT key FROM latest WHERE key >= 'user:00033' ORDER BY key LIMIT 1")
 def seek_ge(spark, sf_dir):
     return scan.seek(events_kv(spark, sf_dir), TARGET).select("key")
 

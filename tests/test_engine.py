@@ -1,0 +1,143 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from kvlake.functions.codec import encode_log, encode_wal
+from kvlake.functions.expressions import le32, log_crc, shared_prefix
+from kvlake.operators import resolve, scan, stats
+from kvlake.schema import CHANGELOG, DELETE, PUT
+from kvlake.sources.files import read_files, register, with_lsn
+from kvlake.sources.segments import KVTable
+from kvlake.streaming import ingest
+
+
+def log_of(spark, rows):
+    """rows: (key, value or None for a deletion), LSNs from 1."""
+    return spark.createDataFrame([(i, DELETE if v is None else PUT, k, v) for i, (k, v) in enumerate(rows, 1)], CHANGELOG)
+
+
+def state(df):
+    return {bytes(r["key"]): bytes(r["value"]) for r in df.collect()}
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    draw, rows, truth = random.Random(42), [], {}
+    for _ in range(3000):
+        key = f"k{draw.randrange(200):03d}".encode()
+        if draw.random() < 0.3:
+            rows.append((key, None))
+            truth.pop(key, None)
+        else:
+            value = bytes(draw.randrange(256) for _ in range(draw.randrange(4)))
+            rows.append((key, value))
+            truth[key] = value
+    return log_of(spark, rows).cache(), rows, truth
+
+
+def test_live_equals_model(model):
+    log, rows, truth = model
+    assert state(resolve.live(log)) == truth
+    prefix = {}
+    for k, v in rows[:1000]:
+        prefix.pop(k, None) if v is None else prefix.update({k: v})
+    assert state(resolve.as_of(log, 1000)) == prefix
+
+
+def test_ranges_equal_model(spark, model):
+    log, _, truth = model
+    draw = random.Random(1)
+    for _ in range(5):
+        a, b = (f"k{draw.randrange(200):03d}".encode() for _ in range(2))
+        assert [bytes(r["key"]) for r in scan.range_scan(log, a, b).collect()] == sorted(k for k in truth if a <= k < b)
+    assert [bytes(r["key"]) for r in scan.prefix_scan(log, b"k01").collect()] == sorted(k for k in truth if k.startswith(b"k01"))
+
+
+@pytest.mark.parametrize(("start", "end", "want"), [("c", "f", "cde"), ("a", "c", "ab"), ("e", "g", "ef"), ("bb", "dd", "cd"), ("0", "b", "a"), ("h", "z", ""), ("c", "c", ""), ("", "zz", "abcdefg"), ("f", "c", ""), ("d", None, "defg")])
+def test_half_open_ranges(spark, start, end, want):
+    log = log_of(spark, [(c.encode(), b"") for c in "gfedcba"])
+    found = scan.range_scan(log, start.encode(), end and end.encode()).collect()
+    assert "".join(bytes(r["key"]).decode() for r in found) == want
+
+
+def test_seek_and_bytes_order(spark):
+    log = log_of(spark, [(b"apple", b"1"), (b"cherry", b"1"), (b"\xff", b"1"), (b"cherry", None)])
+    assert [bytes(r["key"]) for r in scan.seek(log, b"banana").collect()] == [b"cherry"]
+    assert [bytes(r["key"]) for r in scan.seek(log, b"banana", include_deleted=False).collect()] == [b"\xff"]
+    assert scan.successor(b"a\xff") == b"b" and scan.successor(b"\xff") is None and scan.successor("ab") == "ac"
+
+
+def test_three_states_and_probes(spark):
+    log = log_of(spark, [(b"a", b"1"), (b"b", b"2"), (b"b", None), (b"e", b"")])
+    probes = spark.createDataFrame([(b"a",), (b"b",), (b"c",), (b"e",)], "key binary")
+    assert {bytes(r["key"]): r["state"] for r in resolve.three_state_get(log, probes).collect()} == {b"a": "FOUND", b"b": "DELETED", b"c": "ABSENT", b"e": "FOUND"}
+    assert {bytes(r["key"]) for r in scan.multi_get_missing(log, probes).collect()} == {b"b", b"c"}
+
+
+def test_statistics(spark):
+    log = log_of(spark, [(b"hotkey", f"value-{i}".encode()) for i in range(1000)])
+    row = stats.stats(log).first()
+    assert row["live_keys"] == 1 and row["space_amplification"] >= 2 and row["garbage_records"] == 999
+    assert stats.stats(log_of(spark, [])).first()["space_amplification"] is None
+    for rows, size in (([(b"abc", b"xxxxx")], 8), ([(b"abc", b"xxxxx"), (b"abc", b"yy")], 5), ([(b"abc", b"xxxxx"), (b"abc", None)], 3), ([(b"k1", b"val1"), (b"k2", b"val2"), (b"k1", b"V"), (b"k2", None)], 5)):
+        assert stats.memtable_size(log_of(spark, rows)).first()["byte_size"] == size
+    assert stats.bloom_sizing(100_000, 0.01) == {"bits": 958_506, "hashes": 7, "bytes": 119_832}
+    offsets = stats.running_offset(log, stats.record_size(), chunk=64).orderBy("lsn").select("offset", "size").collect()
+    assert all(a["offset"] + a["size"] == b["offset"] for a, b in zip(offsets, offsets[1:]))
+
+
+def test_violations(spark):
+    log = log_of(spark, [(b"a", b""), (b"c", b""), (b"b", b""), (b"b", b""), (b"d", b"")])
+    for chunk in (1, 2, 100):
+        assert stats.sorted_violations(log, chunk=chunk).first()[0] == 2
+
+
+def test_expressions(spark):
+    row = spark.range(1).select(F.hex(le32(F.lit(0x01020384))).alias("le"), log_crc(F.lit(b"k\xff"), F.lit(b"v")).alias("crc"), shared_prefix(F.lit("user:10"), F.lit("user:1")).alias("same")).first()
+    assert row["le"] == "84030201" and row["same"] == 6
+    assert row["crc"] == int.from_bytes(encode_log(b"k\xff", b"v")[:4], "little")
+
+
+def test_segments(spark, model, tmp_path):
+    log, _, truth = model
+    table = KVTable(spark, str(tmp_path / "t"))
+    assert table.versions() == [] and table.read().count() == 0
+    for low, high in ((0, 1000), (1000, 2000), (2000, 3000)):
+        table.flush(log.where((F.col("lsn") > low) & (F.col("lsn") <= high)), 3)
+    assert state(resolve.live(table.read())) == truth
+    assert state(resolve.live(table.read(b"k050", b"k060"))) == {k: v for k, v in truth.items() if b"k050" <= k < b"k060"}
+    assert table.manifest().agg(F.sum("n_tombstones")).first()[0] > 0
+    before = table.versions()[-1]
+    table.compact(2)
+    assert state(table.read()) == truth and table.manifest().agg(F.sum("n_tombstones")).first()[0] == 0
+    assert state(resolve.live(table.read(version=before))) == truth
+    table.truncate_before(2500)
+    assert table.read().agg(F.min("lsn")).first()[0] >= 2500
+    table.truncate_before(2900)
+    assert table.read().agg(F.min("lsn")).first()[0] >= 2900
+
+
+def test_foreign_files(spark, tmp_path):
+    for i, rows in enumerate(([(b"a", b"1"), (b"b", b"2")], [(b"a", b"3"), (b"b", None)])):
+        (tmp_path / f"{i}.log").write_bytes(b"".join(encode_log(*r) for r in rows) + b"\xde\xad")
+    log = with_lsn(read_files(spark, str(tmp_path)))
+    assert [r[0] for r in log.select("lsn").orderBy("lsn").collect()] == [1, 2, 3, 4]
+    assert state(resolve.live(log)) == {b"a": b"3"}
+    register(spark)
+    assert state(resolve.live(with_lsn(spark.read.format("kvlog").load(str(tmp_path))))) == {b"a": b"3"}
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "x.wal").write_bytes(encode_wal(PUT, b"k", b"") + encode_wal(DELETE, b"z") + b"zz")
+    assert state(resolve.live(with_lsn(read_files(spark, str(tmp_path / "w"), "kvwal")))) == {b"k": b""}
+
+
+def test_streaming_restart(spark, model, tmp_path):
+    log, _, truth = model
+    feed, target, mark = (str(tmp_path / x) for x in ("feed", "out", "mark"))
+    for part in (F.col("lsn") > 1500, F.col("lsn") <= 1500):  # the older half arrives later
+        log.where(part).write.mode("append").parquet(feed)
+        ingest.follow_latest(spark.readStream.schema(CHANGELOG).parquet(feed), target, mark).awaitTermination()
+    ingest.follow_latest(spark.readStream.schema(CHANGELOG).parquet(feed), target, mark).awaitTermination()
+    assert state(ingest.current(spark, target).where(F.col("op") == PUT)) == truth
+    ingest.ingest(spark.readStream.schema(CHANGELOG).parquet(feed), str(tmp_path / "raw"), str(tmp_path / "mark2")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "raw")).count() == 3000
