@@ -187,19 +187,18 @@ def expect(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 50) -
     return p
 
 
-def train(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 30, ridge: float = 1.0) -> SpanModel:
-    """The span classifier: ridge logistic regression on EM's probabilities, by Newton steps."""
+def train(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 60, ridge: float = 1.0) -> SpanModel:
+    """The span classifier: ridge logistic regression on EM's probabilities, by bounded Newton steps."""
     if not patterns:
         return SpanModel()
     target = expect(patterns)
     x = np.stack([SpanModel.inputs(k, m) for k, m, _ in patterns])
     n = np.array([c for _, _, c in patterns], dtype=float)
-    n = n / n.mean()
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x.T * (n * p * (1 - p))) @ x + ridge * np.eye(len(w)), x.T @ (n * (target - p)) - ridge * w)
-        w += step
+        w += np.clip(step, -1, 1)
     return SpanModel(w)
 
 
