@@ -32,7 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     classes = materialize(Join(docs, 5, 80, 100).run(), "pipeline-classes")
     gone = classes.where("id <> component").select(F.col("id").alias("_gone"))
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
     if not classes.groupBy("id").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept
