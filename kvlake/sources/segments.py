@@ -83,6 +83,20 @@ class KVTable:
         merged = latest_per_key(self.read()).where(F.col("op") == PUT)
         return self._commit(self._write(merged, 1, partitions))
 
+    def compact_level(self, level: int, partitions: int | None = None) -> int:
+        """Merge the segments of one level into one of the next.  Other levels may hold older versions, so deletions stay."""
+        meta = self.manifest()
+        paths = [r["path"] for r in meta.where(F.col("level") == level).select("path").distinct().collect()]
+        if not paths:
+            return self.versions()[-1] if self.versions() else 0
+        merged = self._write(latest_per_key(self.spark.read.parquet(*paths)), level + 1, partitions)
+        return self._commit(meta.where(F.col("level") != level).unionByName(merged))
+
+    def tiers(self, fan_in: int = 4) -> DataFrame:
+        """Size-tiered policy: levels with ``fan_in`` segments or more, with their number and bytes."""
+        segments = self.manifest().groupBy("level", "segment_id").agg(F.sum("bytes").alias("bytes"))
+        return segments.groupBy("level").agg(F.count(F.lit(1)).alias("segments"), F.sum("bytes").alias("bytes")).where(F.col("segments") >= fan_in)
+
     def truncate_before(self, lsn: int, partitions: int | None = None) -> int:
         """A new version without the records below ``lsn``; files that lie above it are kept as they are."""
         meta = self.manifest()

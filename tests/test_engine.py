@@ -108,7 +108,10 @@ def test_segments(spark, model, tmp_path):
     assert state(resolve.live(table.read())) == truth
     assert state(resolve.live(table.read(b"k050", b"k060"))) == {k: v for k, v in truth.items() if b"k050" <= k < b"k060"}
     assert table.manifest().agg(F.sum("n_tombstones")).first()[0] > 0
+    assert [(r["level"], r["segments"]) for r in table.tiers(3).collect()] == [(0, 3)]
     before = table.versions()[-1]
+    table.compact_level(0)
+    assert state(resolve.live(table.read())) == truth and table.manifest().agg(F.sum("n_tombstones")).first()[0] > 0
     table.compact(2)
     assert state(table.read()) == truth and table.manifest().agg(F.sum("n_tombstones")).first()[0] == 0
     assert state(resolve.live(table.read(version=before))) == truth
