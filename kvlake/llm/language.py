@@ -28,8 +28,8 @@ from kvlake.llm.shingles import Words, chunks
 SAMPLE, BUCKETS, SWITCH = 8000, 1 << 15, 8.0
 #: A word speaks for or against a language by this much at most; a script counts for a language from this share on.
 MOST, SHARE = 12.0, 0.01
-#: Words that go through the recursion together, and texts of one batch whose words are held at a time.
-TOGETHER = 2_000_000
+#: Words that go through the recursion together.
+TOGETHER = 500_000
 
 # First code points of script ranges, in order.
 SCRIPTS = [0x0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0x980, 0xA00, 0xB80, 0xC00, 0xE00, 0xE80, 0xF00, 0x1000, 0x10A0, 0x1100, 0x1200, 0x1780, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x3100, 0x3130, 0x3190, 0xAC00, 0xD7B0, 0x10000, 0x20000]
@@ -111,12 +111,16 @@ class LanguageModel:
 
     def label(self, texts: list[str | None]):
         """For each text: language, score and spans (language, first byte, byte after the last)."""
-        held: list[tuple[list[bytes], Grams, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         words, done = 0, 0
         for chunk in chunks(lowered(t or "") for t in texts):
             g = Grams(chunk)
-            held.append((chunk, g, self.scores(g)))
-            words += len(g.words.starts)
+            w = g.words
+            # Only what the labels need stays: word counts, places and lengths, scores.
+            offsets = w.ends_of_text - [len(t) + 1 for t in chunk]
+            held.append((np.diff(w.begins), w.starts, w.lengths.astype(np.int32), offsets, self.scores(g)))
+            words += len(w.starts)
+            del g, w
             if words >= TOGETHER:
                 yield from self._label(held, texts[done : (done := done + sum(len(h[0]) for h in held))])
                 held, words = [], 0
@@ -124,11 +128,11 @@ class LanguageModel:
             yield from self._label(held, texts[done:])
 
     def _label(self, held, texts):
-        counts = np.concatenate([np.diff(h[1].words.begins) for h in held])
+        counts, starts, lengths, offsets, scores = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         begins = np.concatenate([[0], np.cumsum(counts)])
-        labels = best_path(np.concatenate([h[2] for h in held]), begins, SWITCH)
-        starts, lengths = (np.concatenate([getattr(h[1].words, x) for h in held]) for x in ("starts", "lengths"))
-        offsets = np.concatenate([h[1].words.ends_of_text - [len(t) + 1 for t in h[0]] for h in held])
+        labels = best_path(scores, begins, SWITCH)
+        del scores
         sums = np.stack([np.concatenate([[0], np.cumsum(np.where(labels == k, lengths, 0))]) for k in range(len(self.languages))])
         sums = sums[:, begins[1:]] - sums[:, begins[:-1]]
         for i, text in enumerate(texts):
