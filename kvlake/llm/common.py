@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 
 #: Bytes of an Arrow batch that goes to a Python worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -38,10 +38,30 @@ def ship(spark: SparkSession) -> None:
     context._kvlake_shipped = True
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker lives on after its task and counts against its executor."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return  # another C library
+
+
 def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
-    """mapInArrow with this package at hand."""
+    """mapInArrow with this package at hand; the worker's memory is released at the end of a task."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def trimmed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(trimmed, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,10 +82,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete all tables that ``materialize`` wrote so far; results that read them must have been used."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     # Parquet makes every column nullable; reading by schema spares the footer pass.
     return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)

@@ -14,14 +14,20 @@ def ranks_of(path: str) -> dict[bytes, int]:
         return {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
 
 
-@functools.lru_cache(maxsize=2)
-def _engines(json_path: str, ranks_path: str, pattern: str):
+@functools.lru_cache(maxsize=1)
+def _fast(ranks_path: str, pattern: str):
     import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks_of(ranks_path), special_tokens={})
+
+
+@functools.lru_cache(maxsize=1)
+def _exact(json_path: str):
     from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(json_path)
-    exact.encode_special_tokens = True
-    return exact, tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks_of(ranks_path), special_tokens={})
+    found = Tokenizer.from_file(json_path)
+    found.encode_special_tokens = True
+    return found
 
 
 #: UTF-8 lead bytes from here on start code points above U+024F.
@@ -34,8 +40,7 @@ def encode_ids(text: str, json_path: str, ranks_path: str, pattern: str) -> np.n
     Texts of Latin code points go through the rank file of the same vocabulary, which is four times as fast and gives
     the same ids; any other text goes through the JSON tokenizer itself, as two Unicode tables could differ there.
     """
-    exact, fast = _engines(json_path, ranks_path, pattern)
-    raw = text.encode("utf-8", "replace")
+    raw = b"" if text.isascii() else text.encode("utf-8", "replace")
     if len(raw.translate(None, BEYOND_LATIN)) == len(raw):
-        return fast.encode_to_numpy(text, disallowed_special=())
-    return np.array(exact.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return _fast(ranks_path, pattern).encode_to_numpy(text, disallowed_special=())
+    return np.array(_exact(json_path).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
