@@ -228,7 +228,8 @@ class Join:
             links = links.union(self.verify(rest))
             found = components(links)
         self.links = links
-        named = self.nodes.join(found, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))
+        # Written, so that both sides of the join come from an exchange and a hot set of copies can be split.
+        named = materialize(self.nodes.join(found, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component")), "jaccard-classes")
         return self.rows.select("id", "n", "s1", "s2").join(named, ["s1", "s2"], "left").select("id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
 
     def across(self, hot: DataFrame, found: DataFrame) -> DataFrame:
