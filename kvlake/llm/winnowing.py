@@ -7,6 +7,10 @@ hash is kept, the rightmost on ties, with its position.  Any passage of ``k + wi
 found in both fingerprints.  A text with fewer words is one gram; one with fewer grams is one window; a text without
 words (null, empty, blank) has an empty fingerprint, which is like another empty one (1.0) and unlike any other (0.0).
 
+Words find nothing in half of a short text, nor a passage without spaces that stands elsewhere in its word.  Pairs with
+such a text are also compared by grams of ``FINE_K`` characters in windows of ``FINE_WINDOW`` (white space counts as one
+space): any eight equal characters in a row are found in both.
+
 Long texts go through blocks of windows, so intermediate arrays stay small, and window minima come from doubling: the
 minimum of 2n grams is the lesser of two minima of n.  Hash and position share one long: the upper 54 bits are the
 hash, the lower ten the position counted from the end of the block, so the least value is the rightmost of equal hashes.
@@ -22,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Words a gram and grams a window.
 K, WINDOW = 4, 16
+#: Characters a gram and grams a window, where words are too few or too long.
+FINE_K, FINE_WINDOW = 5, 4
 #: Bits by which a newer word moves the hash of older ones.
 SHIFT = 5
 #: Windows of a block, and the bits of a position in it.
@@ -44,8 +50,13 @@ def words_of(text: Column) -> Column:
     return _let(words, lambda words: F.when(F.exists(words, lambda w: F.length(w) > 32), cut(words)).otherwise(words))
 
 
-def fingerprint(text: Column, k: int = K, window: int = WINDOW) -> Column:
-    """array<struct<h: bigint, p: int>>: the kept grams, by position.  ``window`` must be a power of two."""
+def characters_of(text: Column) -> Column:
+    """Characters of a text; white space becomes one space and is left out at both ends."""
+    return F.array_remove(F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), ""), "")
+
+
+def fingerprint(text: Column, k: int = K, window: int = WINDOW, cut=words_of) -> Column:
+    """array<struct<h: bigint, p: int>>: the kept grams of what ``cut`` makes of a text, by position.  ``window`` must be a power of two."""
     assert window & (window - 1) == 0 and window >= 1, "the window is a power of two"
 
     def folded(step: int, both, alone):
@@ -79,7 +90,7 @@ def fingerprint(text: Column, k: int = K, window: int = WINDOW) -> Column:
         return _let(F.flatten(F.transform(starts, lambda s: block(grams, s))), lambda kept: F.filter(kept, lambda g, i: (i == 0) | (g["p"] != F.get(kept, i - 1)["p"])))
 
     none = F.array().cast("array<struct<h:bigint,p:int>>")
-    return _let(words_of(text), lambda w: F.when(F.size(w) == 0, none).otherwise(_let(grams_of(w), whole)))
+    return _let(cut(text), lambda w: F.when(F.size(w) == 0, none).otherwise(_let(grams_of(w), whole)))
 
 
 def _gear(words: int):
@@ -93,6 +104,17 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / either)
 
 
+def few_or_long_words(text: Column, words: int) -> Column:
+    """Whether a text has fewer than ``words`` words, or one that words_of cuts."""
+    text = F.coalesce(text, F.lit(""))
+    return (F.regexp_count(text, F.lit(r"\S+")) < words) | text.rlike(r"\S{33}")
+
+
+def fine_likeness(a: Column, b: Column, fine: Column, coarse: Column) -> Column:
+    """Likeness of two texts by characters where ``fine`` holds, else ``coarse``."""
+    return F.when(fine, likeness(*(fingerprint(t, FINE_K, FINE_WINDOW, characters_of) for t in (a, b)))).otherwise(coarse)
+
+
 def as_text(a: Column) -> Column:
     """position:hash pairs, the hash in hexadecimal."""
     return F.array_join(F.transform(a, lambda g: F.concat(g["p"].cast("string"), F.lit(":"), F.lower(F.hex(g["h"])))), ",")
@@ -145,9 +167,16 @@ def op7_fingerprints(spark, sf_dir: str) -> DataFrame:
     n = F.col("n_chars")
     half = F.floor(n / 2).cast("int")
     edited = after.withColumn("n_chars", F.length("text").cast("long")).withColumn("_edited", F.concat(F.substring("text", F.lit(1), (n - half).cast("int")), F.substring(F.col("_next.text"), F.lit(1), half)))
-    printed = edited.select("doc_id", "n_chars", "_prints", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("_edited")).alias("_edited_prints"), F.col("_next._prints").alias("_next_prints"))
+    # Half of a text with twice the words of the guarantee can still have fewer, if they are the longer ones.
+    span, kept, next_ = K + WINDOW - 1, F.substring("text", F.lit(1), (n - half).cast("int")), F.col("_next.text")
+    brief = few_or_long_words(F.col("text"), 2 * span)
+    edited = edited.withColumns({"_fine_edited": brief | few_or_long_words(kept, span + 1) | few_or_long_words(F.col("_edited"), 0), "_fine_next": brief | few_or_long_words(next_, 2 * span)})
+    printed = edited.select("doc_id", "n_chars", "text", "_edited", "_fine_edited", "_fine_next", next_.alias("_next_text"), "_prints", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("_edited")).alias("_edited_prints"), F.col("_next._prints").alias("_next_prints"))
+    near_edited, near_next = likeness(F.col("_prints"), F.col("_edited_prints")), likeness(F.col("_prints"), F.col("_next_prints"))
     return printed.select(
         "doc_id", "n_chars", "edited_sha256",
         as_text(F.col("_prints")).alias("fingerprint"), as_text(F.col("_edited_prints")).alias("edited_fingerprint"),
-        likeness(F.col("_prints"), F.col("_edited_prints")).alias("near_edited"), likeness(F.col("_prints"), F.col("_next_prints")).alias("near_next"),
+        near_edited.alias("near_edited"), near_next.alias("near_next"),
+        fine_likeness(F.col("text"), F.col("_edited"), F.col("_fine_edited"), near_edited).alias("near_edited_fine"),
+        fine_likeness(F.col("text"), F.col("_next_text"), F.col("_fine_next"), near_next).alias("near_next_fine"),
     )

@@ -178,6 +178,37 @@ def test_guarantee():
         assert {h for _, h in one} & {h for _, h in two}
 
 
+def brute_fine(text, k=5, window=4):
+    units = list(re.sub(r"[ \t\n\x0b\f\r]+", " ", text).strip(" "))
+    one = [xxhash.xxh64(c.encode(), seed=42).intdigest() for c in units]
+    grams = []
+    for i in range(len(one) - k + 1):
+        # Spans of 1, 2, 4 and 5 characters, as the fold makes them.
+        gear = lambda a, b, n: (a << 5 * n) ^ b
+        two = [gear(one[j], one[j + 1], 1) for j in range(i, i + k - 1)]
+        four = [gear(two[j], two[j + 2], 2) for j in range(k - 3)]
+        g = gear(four[0], four[1], 1) & (1 << 54) - 1
+        grams.append(g - (1 << 54) if g >> 53 else g)
+    return {min(grams[j : j + window]) for j in range(len(grams) - window + 1)}
+
+
+def test_short_and_unspaced_texts_match(spark, make_docs, tables):
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randrange(3, 9)))
+    run = "".join(chr(0x4E00 + draw.randrange(3000)) for _ in range(60))
+    texts = [" ".join(word() for _ in range(n)) for n in (5, 9, 18, 25, 37)]
+    texts += [f"{run}终", f"前言三{run}"]  # the same passage, shifted by three
+    texts += [" ".join(word() for _ in range(200))]
+    rows = {r["doc_id"]: r for r in op7_fingerprints(spark, tables(documents=make_docs(texts))).collect()}
+    for i, text in enumerate(texts[:7]):
+        after = texts[i + 1]
+        half = len(text) // 2
+        own, edited, next_ = brute_fine(text), brute_fine(text[: len(text) - half] + after[:half]), brute_fine(after)
+        assert rows[i]["near_edited_fine"] == pytest.approx(len(own & edited) / len(own | edited)) and rows[i]["near_edited_fine"] > 0.1
+        assert rows[i]["near_next_fine"] == pytest.approx(len(own & next_) / len(own | next_))
+    assert rows[0]["near_edited"] == 0.0 and rows[5]["near_next"] < 0.1 < 0.8 < rows[5]["near_next_fine"]
+
+
 @pytest.fixture(scope="module")
 def vectors():
     draw = np.random.default_rng(4)
