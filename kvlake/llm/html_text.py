@@ -5,7 +5,13 @@ Every DOM node has characters C, tags T, link characters LC and link tags LT (of
 subtree whose children's densities have the largest sum is the seed; the least density on its path up to the body is
 the threshold that other subtrees must reach.  Where the seed stands in an ``article`` (else ``main``) element, the
 outermost such element is the content; otherwise it is the seed together with the subtrees that reach the threshold, and
-headings beside them.  Menus, forms, adverts, comments and the like are left out wherever they stand.
+headings beside them.
+
+Menus, forms, asides and hidden elements are left out wherever they stand.  Words of class, id and role (adverts, comments
+and the like) and lists of links leave a subtree out only beside the widened seed; inside it only marks on what is mostly
+links, or a class or id that is wholly the name of an advert or of comments.  A subtree with more than half of the page's
+text that isn't links is only left out if the mark is its whole class or id, and not if less than a fifth of the text
+would be left; if it still would be, no mark counts.
 
 Blocks are the block-level elements; white space in them becomes one space, they are joined by a line feed in page
 order.  Null and empty pages give an empty text.  Broken markup (unclosed or stray tags, cut-off pages) is read as
@@ -37,6 +43,8 @@ NOT_WORDS = {
     "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "cookie", "cookies", "consent", "gdpr", "notice", "alert", "alertdialog", "dialog", "modal", "popup", "overlay", "toolbar", "share", "sharing", "social", "related", "recommended",
     "newsletter", "subscribe", "subscription", "signup", "login", "search", "masthead", "contentinfo", "complementary", "skip", "teaser",
 }
+#: Those that leave a part out of an article too, where they are a whole class or id.
+NOT_INSIDE = {"ad", "ads", "adv", "advert", "advertisement", "adverts", "advertising", "sponsored", "comments", "commentlist", "disqus"}
 
 _ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -50,7 +58,7 @@ class Page:
     """A DOM in arrays: parents come before their children."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.out = ["#root"], [-1], [False]
+        self.tag, self.parent, self.out, self.mark = ["#root"], [-1], [False], [0]
         self.items: list[tuple[int, str | None]] = []
         self._read(html)
         self._measure()
@@ -62,12 +70,18 @@ class Page:
             self._close_within(stack, *SIBLINGS[tag])
         node = len(self.tag)
         out = tag in NOT_TEXT or tag == "header" and not any(self.tag[i] in ("article", "main") for i in stack)
+        mark = 0
         if attributes and not out:
             marks = [m[1].strip("\"'") for m in _MARKS.findall(attributes)]
-            out = tag not in ("html", "body", "article", "main") and any(not NOT_WORDS.isdisjoint(_WORDS.findall(_CAMEL.sub(" ", m).lower())) for m in marks) or bool(_HIDDEN.search(attributes))
+            # 1: a word of a name, 2: a whole name, 3: a whole name that counts inside the article as well.
+            if tag not in ("html", "body", "article", "main") and any(not NOT_WORDS.isdisjoint(_WORDS.findall(_CAMEL.sub(" ", m).lower())) for m in marks):
+                names = {name for m in marks for name in m.lower().split()}
+                mark = 1 if names.isdisjoint(NOT_WORDS) else 2 if names.isdisjoint(NOT_INSIDE) else 3
+            out = bool(_HIDDEN.search(attributes))
         self.tag.append(tag)
         self.parent.append(stack[-1])
         self.out.append(out)
+        self.mark.append(mark)
         self.items.append((node, None))
         if tag not in VOID:
             stack.append(node)
@@ -149,46 +163,69 @@ class Page:
             link_tags[p] += link_tags[i]
         share = link_chars[0] / chars[0] if chars[0] else 0.0
         self.density = [0.0] * n
-        self.sums = [0.0] * n
         self.chars, self.link_chars = chars, link_chars
         for i in range(n - 1, -1, -1):
             if c := chars[i]:
                 lc, lt = max(link_chars[i], 1), max(link_tags[i], 1)
                 base = log(c / max(c - lc, 1) * lc + share * c + e)
                 self.density[i] = c / tags[i] * max(log(c / lc * tags[i] / lt), 0.0) / log(base)
-            if i and not self.out[i]:
-                self.sums[self.parent[i]] += self.density[i]
+
+    def _below(self, marked: list[bool]) -> list[bool]:
+        """Marked nodes and all that stand in them."""
+        gone = list(marked)
+        for i in range(1, len(gone)):
+            gone[i] = gone[i] or gone[self.parent[i]]
+        return gone
+
+    def _left_out(self) -> list[bool]:
+        """What is left out beside the content, by its element or its marks."""
+        plain = [c - lc for c, lc in zip(self.chars, self.link_chars, strict=True)]
+        left = lambda gone: plain[0] - sum(plain[i] for i in range(1, len(gone)) if gone[i] and not gone[self.parent[i]])
+        out = self._below(self.out)
+        total = left(out)
+        if not any(self.mark):
+            return out
+        # All whole names, then only small subtrees, then no marks.
+        for whole in (2, 4):
+            gone = self._below([o or m >= whole or m > 0 and 2 * c <= total for o, m, c in zip(out, self.mark, plain, strict=True)])
+            if 5 * left(gone) >= total and (total or any(c and not g for c, g in zip(self.chars, gone, strict=True))):
+                return gone
+        return out
 
     def content(self) -> list[bool]:
         """Which nodes belong to the main text."""
         n = len(self.tag)
-        gone = list(self.out)
-        for i in range(1, n):
-            gone[i] = gone[i] or gone[self.parent[i]]
+        left_out = self._left_out()
         # Lists and tables that are mostly links are menus without a mark.
-        for i in range(1, n):
-            gone[i] = gone[i] or gone[self.parent[i]] or self.tag[i] in ("ul", "ol", "table") and self.link_chars[i] > 0.6 * self.chars[i] > 0
+        gone = self._below([g or self.tag[i] in ("ul", "ol", "table") and self.link_chars[i] > 0.6 * self.chars[i] > 0 for i, g in enumerate(left_out)])
         alive = [i for i in range(n) if not gone[i] and self.chars[i]]
         if not alive:
             return [False] * n
-        seed = max(alive, key=lambda i: (self.sums[i], self.density[i] if not self.sums[i] else 0.0, -i))
+        sums = [0.0] * n
+        for i in range(1, n):
+            if not left_out[i]:
+                sums[self.parent[i]] += self.density[i]
+        seed = max(alive, key=lambda i: (sums[i], self.density[i] if not sums[i] else 0.0, -i))
         path, node = [], seed
         while node > 0:
             path.append(node)
             node = self.parent[node]
-        for kinds in (("article",), ("main",)):
-            if found := [i for i in path if self.tag[i] in kinds]:
-                kept = {found[-1]}
-                break
-        else:
-            threshold = min((self.density[i] for i in path), default=0.0)
-            kept = {seed}
-            beside = set()
+        threshold = min((self.density[i] for i in path), default=0.0)
+        chosen = next((found[-1] for kind in ("article", "main") if (found := [i for i in path if self.tag[i] == kind])), seed)
+        if self.tag[chosen] not in ("#root", "html", "body"):
+            # Inside the content, marks count less and lists of links belong to it.
+            within = [False] * n
+            for i in range(chosen, n):
+                within[i] = i == chosen or within[self.parent[i]]
+            out = self._below([self.out[i] or within[i] and i != chosen and (self.mark[i] == 3 or self.mark[i] > 0 and 2 * self.link_chars[i] > self.chars[i]) for i in range(n)])
+            gone = [out[i] if within[i] else g for i, g in enumerate(gone)]
+        kept, above = {chosen}, set(path)
+        if self.tag[chosen] not in ("article", "main"):
+            beside = {self.parent[chosen]}
             for i in alive:
-                if i and self.density[i] >= threshold and i not in path and self.tag[i] not in INLINE:
+                if i and self.density[i] >= threshold and i not in above and self.tag[i] not in INLINE:
                     kept.add(i)
                     beside.add(self.parent[i])
-            beside |= {self.parent[seed]}
             kept |= {i for i in alive if self.tag[i] in HEADINGS and self.parent[i] in beside}
         inside = [False] * n
         for i in range(n):

@@ -34,6 +34,20 @@ def test_main_text(html, want):
     assert main_text(html) == want
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<body><div class='layout has-sidebar'><div class=sidebar><a href=1>x</a></div><div id=c><h1>T</h1><p>{P1}</p><p>{P2}</p></div></div>", f"T\n{P1}\n{P2}"),
+        (f"<body><p>Welcome</p><div id='search-page'><p>{P1}</p><p>{P2}</p></div>", f"{P1}\n{P2}"),
+        (f"<body><div class=modal><h1>T</h1><p>{P1}</p><p>{P2}</p></div>", f"T\n{P1}\n{P2}"),
+        (f"<article><p>{P1}</p><section id='related-work'><h2 id='social-security'>Social</h2><p class='share-price'>{P2}</p></section></article>", f"{P1}\nSocial\n{P2}"),
+        (f"<article><p>{P1}</p><h2>Sources</h2><ul><li><a href=1>Source one</a><li><a href=2>Source two</a></ul><div class=share><a href=1>Tweet</a></div><div class=ad>Buy</div></article>", f"{P1}\nSources\nSource one\nSource two"),
+    ],
+)
+def test_marks_around_and_inside_the_article(html, want):
+    assert main_text(html) == want
+
+
 def test_deep_and_long_pages():
     assert main_text("<div>" * 20_000 + "deep") == "deep"
     assert main_text(f"<article><p>{'word ' * 200_000}</article>") == " ".join(["word"] * 200_000)
