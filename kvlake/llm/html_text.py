@@ -3,9 +3,8 @@
 Every DOM node has characters C, tags T, link characters LC and link tags LT (of its subtree).  Its density is
 ``C/T * log_b(C/LC * T/LT)`` with ``b = ln(C/(C-LC) * LC + LCbody/Cbody * C + e)``, so link lists are pushed down.  The
 subtree whose children's densities have the largest sum is the seed; the least density on its path up to the body is
-the threshold that other subtrees must reach.  Where the seed stands in an ``article`` (else ``main``) element, the
-outermost such element is the content; otherwise it is the seed together with the subtrees that reach the threshold, and
-headings beside them.
+the threshold.  The seed, widened to the outermost ``article`` (else ``main``) element around it, is the content together
+with every other subtree that reaches the threshold, and headings beside them.
 
 Menus, forms, asides and hidden elements are left out wherever they stand.  Words of class, id and role (adverts, comments
 and the like) and lists of links leave a subtree out only beside the widened seed; inside it only marks on what is mostly
@@ -219,14 +218,12 @@ class Page:
                 within[i] = i == chosen or within[self.parent[i]]
             out = self._below([self.out[i] or within[i] and i != chosen and (self.mark[i] == 3 or self.mark[i] > 0 and 2 * self.link_chars[i] > self.chars[i]) for i in range(n)])
             gone = [out[i] if within[i] else g for i, g in enumerate(gone)]
-        kept, above = {chosen}, set(path)
-        if self.tag[chosen] not in ("article", "main"):
-            beside = {self.parent[chosen]}
-            for i in alive:
-                if i and self.density[i] >= threshold and i not in above and self.tag[i] not in INLINE:
-                    kept.add(i)
-                    beside.add(self.parent[i])
-            kept |= {i for i in alive if self.tag[i] in HEADINGS and self.parent[i] in beside}
+        kept, beside, above = {chosen}, {self.parent[chosen]}, set(path)
+        for i in alive:
+            if i and self.density[i] >= threshold and i not in above and self.tag[i] not in INLINE:
+                kept.add(i)
+                beside.add(self.parent[i])
+        kept |= {i for i in alive if self.tag[i] in HEADINGS and self.parent[i] in beside}
         inside = [False] * n
         for i in range(n):
             inside[i] = not gone[i] and (i in kept or i > 0 and inside[self.parent[i]])

@@ -48,6 +48,21 @@ def test_marks_around_and_inside_the_article(html, want):
     assert main_text(html) == want
 
 
+NAV = "<nav><a href=1>Home</a> <a href=2>More here</a></nav>"
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<body>{NAV}<article><p>{P1}</p><p>{P2}</p></article><article><p>{P1} {P2}</p></article>", f"{P1}\n{P2}\n{P1} {P2}"),
+        (f"<body>{NAV}<article><p>{P1}</p><p>{P2}</p></article><div><p>{P2} {P1}</p></div><div>Imprint</div>", f"{P1}\n{P2}\n{P2} {P1}"),
+        (f"<body>{NAV}<div><p>{P1}</p><p>{P2}</p></div><div><p>{P2} {P1}</p></div><div>Imprint</div>", f"{P1}\n{P2}\n{P2} {P1}"),
+    ],
+)
+def test_text_beside_an_article(html, want):
+    assert main_text(html) == want
+
+
 def test_deep_and_long_pages():
     assert main_text("<div>" * 20_000 + "deep") == "deep"
     assert main_text(f"<article><p>{'word ' * 200_000}</article>") == " ".join(["word"] * 200_000)
