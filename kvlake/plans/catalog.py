@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlake.functions.expressions import log_crc
+from kvlake.functions.expressions import log_frame, read_log_frame
 from kvlake.operators import resolve, scan, stats
 from kvlake.plans.adapters import conversations_kv, events_kv, events_of, orders_kv
 from kvlake.schema import PUT
@@ -315,8 +315,12 @@ def stream_latest(spark, sf_dir):
 
 @query(None)
 def crc_roundtrip(spark, sf_dir):
-    """Frames of all records by expressions, their checksums and sizes."""
-    return events_kv(spark, sf_dir).where(F.col("op") == PUT).select("key", "lsn", log_crc(F.col("key"), F.col("value")).alias("crc"), stats.record_size().alias("size"))
+    """Frames of all records by expressions, read again: their checksums, sizes, and whether checksum and record come back."""
+    framed = events_kv(spark, sf_dir).withColumn("_frame", log_frame(F.col("op"), F.col("key"), F.col("value")))
+    read = framed.withColumn("_read", read_log_frame(F.col("_frame")))
+    value = F.when(F.col("op") == PUT, F.coalesce("value", F.lit(""))).cast("binary")
+    same = (F.col("_read.crc") == F.col("_read.computed")) & (F.col("_read.op") == F.col("op")) & (F.col("_read.key") == F.col("key").cast("binary")) & F.col("_read.value").eqNullSafe(value)
+    return read.select("key", "lsn", "op", F.col("_read.crc").alias("crc"), F.col("_read.computed").alias("decoded_crc"), F.octet_length("_frame").cast("long").alias("size"), F.coalesce(same, F.lit(False)).alias("valid"))
 
 
 @query(None)
