@@ -32,15 +32,46 @@ def running_offset(log: DataFrame, size: Column, chunk: int = CHUNK) -> DataFram
     Ranges of ``chunk`` LSNs are summed, a window over one row a range gives their bases, and offsets are completed
     inside each range; so no task orders the whole log.
     """
-    sized = log.withColumn("size", size).withColumn("_chunk", F.expr(f"lsn div {chunk}"))
+    return _running(log.withColumn("_chunk", F.expr(f"lsn div {chunk}")), size, "lsn")
+
+
+def running_offset_by_key(rows: DataFrame, size: Column, chunk: int = CHUNK) -> DataFrame:
+    """The same in the order of distinct keys, over key ranges of about ``chunk`` rows."""
+    return _running(key_ranges(rows, chunk), size, "key")
+
+
+def _running(chunked: DataFrame, size: Column, order: str) -> DataFrame:
+    sized = chunked.withColumn("size", size)
     sums = sized.groupBy("_chunk").agg(F.sum("size").alias("_sum"))
     before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("_chunk", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_chunk").orderBy("lsn").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     within = sized.withColumn("_within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return within.join(bases, "_chunk").withColumn("offset", F.col("_base") + F.col("_within")).drop("_chunk", "_base", "_within")
 
 
+def key_ranges(rows: DataFrame, chunk: int = CHUNK, most: int = 4096) -> DataFrame:
+    """rows of distinct keys with ``_chunk``, which rises with the key: ranges of about ``chunk`` rows, at most ``most``.
+
+    The bounds come from the keys of the lowest hashes, 32 for each range; only those reach the driver.
+    """
+    parts = max(1, min(most, -(-rows.count() // chunk)))
+    cuts = []
+    if parts > 1:
+        lowest = rows.select("key").orderBy(F.xxhash64("key"), "key").limit(32 * parts).select("key")
+        drawn = sorted(r["key"].encode() if isinstance(r["key"], str) else bytes(r["key"]) for r in lowest.collect())
+        cuts = sorted({drawn[i * len(drawn) // parts] for i in range(1, parts)})
+    if not cuts:
+        return rows.withColumn("_chunk", F.lit(0))
+    # Two steps of at most 64 comparisons each find the range.
+    key = F.col("key").cast("binary")
+    steps = [F.array(*map(F.lit, cuts[i : i + 64])) for i in range(0, len(cuts), 64)]
+    below = lambda bounds: F.size(F.filter(bounds, lambda b: b <= key))
+    step = below(F.array(*map(F.lit, cuts[::64]))) - 1
+    stepped = rows.withColumn("_step", step)
+    return stepped.withColumn("_chunk", F.when(F.col("_step") < 0, F.lit(0)).otherwise(F.col("_step") * 64 + below(F.get(F.array(*steps), F.col("_step"))))).drop("_step")
+
+
 def record_offsets(log: DataFrame) -> DataFrame:
     return running_offset(log, record_size())
 

@@ -234,8 +234,7 @@ def prefix_compression_bytes(spark, sf_dir):
 def block_index(spark, sf_dir):
     """Last key and bytes of blocks of about 4 KB over the sorted live keys; key ranges give the order in two passes."""
     live = resolve.live(events_kv(spark, sf_dir)).select("key", "value").withColumn("op", F.lit(PUT))
-    ordered = live.withColumn("lsn", F.substring("key", 6, 20).cast("long"))
-    blocks = stats.running_offset(ordered, stats.record_size()).withColumn("block_id", F.expr(f"offset div {BLOCK}"))
+    blocks = stats.running_offset_by_key(live, stats.record_size()).withColumn("block_id", F.expr(f"offset div {BLOCK}"))
     return blocks.groupBy("block_id").agg(F.max("key").alias("last_key"), F.sum("size").alias("bytes"))
 
 

@@ -107,16 +107,19 @@ class KVTable:
         return self._commit(whole)
 
 
-def prefix_compression(keys: DataFrame) -> DataFrame:
+def prefix_compression(keys: DataFrame, chunk: int = 1 << 20) -> DataFrame:
     """Bytes that front coding of sorted distinct keys saves and keeps: shared_bytes and suffix_bytes.
 
-    The order is kept by key ranges of the first two characters; a range's first key starts afresh, as in a block.
+    The order runs over all keys in two passes: inside key ranges, then from the last key of a range to the first of the next.
     """
     from pyspark.sql.window import Window
 
     from kvlake.functions.expressions import shared_prefix
-
-    ranged = keys.select("key").distinct().withColumn("_range", F.substring("key", 1, 8))
-    before = F.lag("key").over(Window.partitionBy("_range").orderBy("key"))
-    shared = ranged.withColumn("_shared", F.when(before.isNull(), F.lit(0)).otherwise(shared_prefix(before, F.col("key"))))
-    return shared.agg(F.sum("_shared").cast("long").alias("shared_bytes"), F.sum(F.length("key") - F.col("_shared")).cast("long").alias("suffix_bytes"))
+    from kvlake.operators.stats import key_ranges
+
+    ranged = key_ranges(keys.select("key").distinct(), chunk)
+    inside = ranged.withColumn("_before", F.lag("key").over(Window.partitionBy("_chunk").orderBy("key")))
+    edges = ranged.groupBy("_chunk").agg(F.max("key").alias("_last")).select("_chunk", F.lag("_last").over(Window.orderBy("_chunk")).alias("_edge"))
+    before = F.coalesce("_before", "_edge")
+    joined = inside.join(edges, "_chunk").withColumn("_shared", F.when(before.isNull(), F.lit(0)).otherwise(shared_prefix(before, F.col("key"))))
+    return joined.agg(F.sum("_shared").cast("long").alias("shared_bytes"), F.sum(F.length("key") - F.col("_shared")).cast("long").alias("suffix_bytes"))

@@ -61,3 +61,27 @@ def test_frames_are_verified(spark):
     read = [r[0] for r in spark.createDataFrame([(f,) for f in good + bad], "frame binary").select(read_log_frame(F.col("frame"))).collect()]
     assert [(r["op"], bytes(r["key"]), r["value"] and bytes(r["value"])) for r in read[:3]] == [(1, b"k\xff", b"v"), (1, b"", b""), (2, b"key", None)]
     assert all(r["crc"] == r["computed"] for r in read[:3]) and read[3]["crc"] != read[3]["computed"] and read[4:] == [None] * 4
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 50, 2])
+def test_blocks_and_prefixes_follow_the_order_of_keys(spark, tmp_path, monkeypatch, chunk):
+    """User numbers of five and more digits, whose order as keys isn't that of the numbers."""
+    import random
+
+    import duckdb
+
+    from kvlake.operators import stats
+    from kvlake.sources.segments import prefix_compression
+
+    draw = random.Random(1)
+    users = [99_999, 100_000, 10_000, 10_001, *(draw.randrange(10 ** draw.randrange(1, 8)) for _ in range(400))]
+    events = spark.createDataFrame([(i, u, "click", "v" * draw.randrange(200)) for i, u in enumerate(users)], "event_id long, user_id long, event_type string, props string")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(stats.running_offset_by_key, "__defaults__", (chunk,))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert rows(QUERIES["block_index"](spark, str(tmp_path)).toPandas()) == rows(con.execute(ORACLE_SQL["block_index"]).df())
+    keys = sorted({f"user:{u:05d}" for u in users} | {"é", "ab", "abc", "z"})
+    shared = sum(next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(keys, keys[1:]))
+    found = prefix_compression(spark.createDataFrame([(k,) for k in keys], "key string"), chunk).first()
+    assert tuple(found) == (shared, sum(map(len, keys)) - shared)
