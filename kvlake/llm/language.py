@@ -8,7 +8,7 @@ becomes one.  All documents of a batch go through the recursion side by side.
 
 The prediction is the language of most letters by these labels, the score its share of them.  Null texts and those
 without a letter are ``und`` with score 0.  The sample for learning is bounded by SAMPLE documents (expected), drawn by
-a hash of the id; the languages are those of the sample.  Repeated rows are predicted each; an empty table gives an
+a hash of the id from each language in even parts; languages with fewer documents are drawn whole.  Repeated rows are predicted each; an empty table gives an
 empty result; without training rows every text is ``und``.
 """
 
@@ -149,11 +149,22 @@ class LanguageModel:
 
 
 def learn(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> LanguageModel:
-    """Count trigrams, words and scripts of about ``sample`` documents for which ``trains`` holds and lang is known."""
+    """Count trigrams, words and scripts of about ``sample`` documents for which ``trains`` holds and lang is known.
+
+    Every language gets an even part of the sample, what small ones leave goes to larger ones, and a language with fewer
+    documents than its part is drawn whole.
+    """
     known = docs.where(trains & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    total = known.count()
-    share = min(1.0, sample / max(total, 1))
-    drawn = known.where(F.pmod(F.xxhash64(id_col, F.lit(4)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else known
+    totals = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
+    shares, left = {}, sample
+    for i, (lang, total) in enumerate(sorted(totals.items(), key=lambda x: (x[1], x[0]))):
+        part = max(1, min(total, left // (len(totals) - i)))
+        shares[lang], left = part / total, left - part
+    # Documents are drawn by the hash of their id; nothing is cut where a language is drawn whole.
+    drawn = known
+    if any(share < 1 for share in shares.values()):
+        share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col(lang_col)]
+        drawn = known.where((share >= 1) | (F.pmod(F.xxhash64(id_col, F.lit(4)), F.lit(1 << 40)) < share * (1 << 40)))
     # The draw is bounded, so a fixed number of tasks counts it.
     drawn = drawn.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).repartition(8)
     size = 2 * BUCKETS + len(SCRIPTS)
@@ -214,8 +225,10 @@ KEEP_FROM = 0.4
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, that are mostly of one known language."""
+    """The documents, all columns, that are mostly of one known language; all of them where no language is known."""
     model = learn(docs, trains())
+    if not model.languages:
+        return docs
     at = docs.columns.index("text")
 
     def run(batches):
@@ -223,7 +236,7 @@ def keep_known(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            found = model.label(texts) if model.languages else [("und", 0.0, [])] * len(texts)
+            found = model.label(texts)
             yield batch.filter(pa.array([lang != "und" and share >= KEEP_FROM for lang, share, _ in found], pa.bool_()))
 
     return arrow_map(docs, run, docs.schema)

@@ -202,3 +202,18 @@ def test_pii_query(spark, make_docs, odd_texts, tables):
         assert set(filter(None, joined.split(","))) <= set(rows[i]["spans"].split(","))
     assert all(re.fullmatch(r"(\w+:\d+:\d+(,|$))*", r["spans"]) for r in rows.values())
     assert op6_pii(spark, tables(documents=make_docs([]))).count() == 0
+
+
+def test_rare_language_is_learned(spark):
+    """With one language at nearly all rows, a small sample still draws the others whole."""
+    draw = random.Random(5)
+    rows = [(i, sentences(draw, STEMS["aa"], 12), "aa") for i in range(1500)] + [(i, sentences(draw, STEMS["bb"], 12), "bb") for i in range(1500, 1506)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs, language.F.lit(True), sample=40)
+    assert model.languages == ["aa", "bb"]
+    found = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, model, ["doc_id"]).collect()}
+    assert all(found[i] == "bb" for i in range(1500, 1506)) and sum(found[i] == "aa" for i in range(1500)) > 1450
+
+
+def test_documents_stay_without_labels(make_docs):
+    assert language.keep_known(make_docs(["Some words here.", None, "more"])).count() == 3
