@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 
 import numpy as np
 
@@ -25,9 +26,14 @@ def _fast(ranks_path: str, pattern: str):
 def _exact(json_path: str):
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(json_path)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(json_path)
+
+
+@functools.lru_cache(maxsize=1)
+def added_tokens(json_path: str) -> tuple[str, ...]:
+    """Strings that the JSON tokenizer takes as one token each, wherever they stand in a text."""
+    with open(json_path, encoding="utf-8") as file:
+        return tuple(t["content"] for t in json.load(file).get("added_tokens") or [])
 
 
 #: UTF-8 lead bytes from here on start code points above U+024F.
@@ -35,12 +41,13 @@ BEYOND_LATIN = bytes(range(0xCA, 0x100))
 
 
 def encode_ids(text: str, json_path: str, ranks_path: str, pattern: str) -> np.ndarray:
-    """Ids of ``text`` as the JSON tokenizer gives them, without special tokens.
+    """Ids of ``text`` as the JSON tokenizer gives them, without adding special tokens.
 
     Texts of Latin code points go through the rank file of the same vocabulary, which is four times as fast and gives
-    the same ids; any other text goes through the JSON tokenizer itself, as two Unicode tables could differ there.
+    the same ids; any other text goes through the JSON tokenizer itself, as two Unicode tables could differ there, and so
+    does one that holds the string of an added token.
     """
     raw = b"" if text.isascii() else text.encode("utf-8", "replace")
-    if len(raw.translate(None, BEYOND_LATIN)) == len(raw):
+    if len(raw.translate(None, BEYOND_LATIN)) == len(raw) and not any(t in text for t in added_tokens(json_path)):
         return _fast(ranks_path, pattern).encode_to_numpy(text, disallowed_special=())
     return np.array(_exact(json_path).encode(text, add_special_tokens=False).ids, dtype=np.uint32)

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import public_tokenizers as P
 import tiktoken
 from hypothesis import given, settings
@@ -98,6 +99,11 @@ def test_fast_ids_equal_tokenizer(text):
     assert encode_ids(text, *JSON).tolist() == exact.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["a<|endoftext|>b", "<|endoftext|>", "中<|endoftext|> é <|endoftext|>", "<|endoftext", "plain"])
+def test_ids_equal_the_default_tokenizer(text):
+    assert encode_ids(text, *JSON).tolist() == Tokenizer.from_file(JSON[0]).encode(text, add_special_tokens=False).ids
+
+
 @given(st.lists(st.integers(1, 64), max_size=300))
 @settings(deadline=None, max_examples=40)
 def test_plan_places_every_piece(lengths):
