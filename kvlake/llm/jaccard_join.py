@@ -2,27 +2,28 @@
 
 Two documents link when ``|A n B| / |A u B|`` of their word-shingle sets reaches a ratio, counted exactly.
 
-1. One pass over the texts counts shingles by 16 bits of their hash; the rounded logarithm of the count, then the hash,
-   is the global order, common shingles last.
-2. Documents with equal sets are one node.  Two sets that link share a shingle in the first ``n - ceil(t n) + 1`` of
+1. One pass counts shingles by the leading bits of their hash, about one counter for each shingle of the table; cells of
+   counters meet in tasks of their own.  Shingles whose counter reaches COMMON are common, at most MOST of them (beyond,
+   the commonest).  The global order is: rare shingles by hash, then common ones by the rounded logarithm of the count.
+2. The order is cut into FRAGMENTS: ranges of rare shingles, and the common ones as the last.
+3. Documents with equal sets are one node.  Two sets that link share a shingle in the first ``n - ceil(t n) + 1`` of
    their order, so these are the keys of candidates.  Common passages stand last and are hardly ever keys.
-3. Nodes of a key are compared as pairs where they are few.  In a hot key each node is first compared with the node of
+4. Nodes of a key are compared as pairs where they are few.  In a hot key each node is first compared with the node of
    middle size only; then, after components are known, nodes of different components, in blocks.  No pair inside a
-   component is emitted.
-4. A candidate pair must fit in size and in a parity sketch, whose differing bits never outnumber the differing
-   shingles: first in one of 256 bits, then in the 1024 bits that it was folded from, then in one of as many bits as the
-   set has shingles.  All tests are exact: they only drop pairs that can't link.
-5. What is left is counted: both sets are cut at the same fragments of the hash range, the overlaps of each fragment
-   are counted separately and summed per pair.
+   component is emitted.  A candidate pair must fit in size and in a parity sketch, whose differing bits never outnumber
+   the differing shingles; both tests only drop pairs that can't link.
+5. Sets of candidates are partitioned vertically: a row for each node and fragment.  Overlaps are counted for each pair
+   and fragment apart, each from the two segments alone, and summed per pair.  The leading fragment goes first; pairs
+   that can't reach the ratio with all that lies beyond it are dropped, the others are counted in the other fragments.
 
 Components of the links are found without collecting anything.  Null and blank texts have an empty set and link with
-nothing.  Equal texts and repeated rows share a node.  An empty table gives an empty result.
+nothing.  Equal texts and repeated rows share a node; of rows that repeat an id with another text each has its own set.
+Ties of sizes go to the lowest id.  A very long text is one row, and a segment of its set one row of the comparison.
+Other columns are never read, whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,120 +32,207 @@ from kvlake.llm.common import arrow_map, materialize
 from kvlake.llm.components import components
 from kvlake.llm.shingles import mix, shingle_sets
 
-SKETCH_BITS = 16
-#: Bits of the parity sketch of a set, and of its folded form in candidate rows.
-PARITY, FOLDED = 1024, 256
+#: Count from which a shingle is common, and the number of common shingles that every task is told.
+COMMON, MOST = 8, 1 << 19
+#: Bits of the counters of one cell, bytes of text for each counter, hashes that a task holds before it counts them.
+CELL, BYTES_A_COUNTER, HELD = 20, 8, 1 << 22
+#: Fragments of the global order; the last holds the common shingles.
+FRAGMENTS = 16
+#: Bits of the parity sketch of a set.
+PARITY = 256
 #: Nodes of a key up to which all its pairs are compared at once, nodes of a block in hot keys.
 FEW, BLOCK = 24, 256
-#: Fragments of the hash range in which overlaps are counted.
-FRAGMENTS = 8
 #: Ids up to which texts are picked by a Bloom filter of BLOOM bits in the scan; beyond, by a join.
 PICKED, BLOOM = 1 << 20, 23
 
 
-def count_buckets(docs: DataFrame, n: int, text_col: str = "text") -> np.ndarray:
-    """Shingles of all documents by the low bits of their hash: a fixed number of counts."""
+def packed(rising: np.ndarray) -> bytes:
+    """Rising integers as their steps: one byte each, or 255 and four bytes."""
+    steps = np.diff(rising, prepend=rising.dtype.type(0)).astype(np.uint32)
+    return packed_small(steps)
+
+
+def packed_small(values: np.ndarray) -> bytes:
+    """Integers below 2^32 of which most are below 255."""
+    wide = values >= 255
+    ends = np.cumsum(np.where(wide, 5, 1))
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    out[ends[~wide] - 1] = values[~wide]
+    first = ends[wide] - 5
+    out[first] = 255
+    for i in range(4):
+        out[first + 1 + i] = (values[wide] >> np.uint32(8 * i)) & np.uint32(255)
+    return out.tobytes()
+
+
+def unpacked_small(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    at = np.flatnonzero(raw == 255)
+    # Bytes of a wide value can be 255 as well: only marks that lie beyond the value before count.
+    marks, upto = [], -1
+    for i in at.tolist():
+        if i > upto:
+            marks.append(i)
+            upto = i + 4
+    marks = np.array(marks, dtype=np.int64)
+    own = np.ones(len(raw), bool)
+    for i in range(1, 5):
+        own[marks + i] = False
+    out = raw.astype(np.uint32)
+    out[marks] = sum((raw[marks + 1 + i].astype(np.uint32) << np.uint32(8 * i)) for i in range(4))
+    return out[own]
+
+
+class Order:
+    """The global order of shingles: common ones, by the leading ``bits`` of their hash, with their level."""
+
+    def __init__(self, bits: int, common: np.ndarray, levels: np.ndarray):
+        self.shift, self.common, self.levels = np.uint64(64 - bits), common, levels
+
+    def level(self, found: np.ndarray) -> np.ndarray:
+        """0 for rare shingles, else the rounded logarithm of the count."""
+        if not len(self.common):
+            return np.zeros(len(found), np.uint8)
+        counter = found >> self.shift
+        at = np.minimum(np.searchsorted(self.common, counter), len(self.common) - 1)
+        return np.where(self.common[at] == counter, self.levels[at], 0).astype(np.uint8)
+
+    def fragment(self, found: np.ndarray) -> np.ndarray:
+        """The fragment of every shingle."""
+        ranged = ((found >> np.uint64(32)) * np.uint64(FRAGMENTS - 1)) >> np.uint64(32)
+        return np.where(self.level(found) > 0, FRAGMENTS - 1, ranged).astype(np.int64)
+
+
+def count_order(docs: DataFrame, n: int, text_col: str = "text") -> Order:
+    """Count the shingles of all documents; only the common ones, at most MOST, reach the driver."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    bits = min(max(CELL, (size // BYTES_A_COUNTER).bit_length()), 56)
 
     def run(batches):
         import pyarrow as pa
 
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        for batch in batches:
-            low = [(found & np.uint64(len(counts) - 1)).astype(np.uint16) for found in shingle_sets(batch.column(0).to_pylist(), n)]
-            counts += np.bincount(np.concatenate([np.empty(0, np.uint16), *low]), minlength=len(counts))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts), dtype=np.int32)), pa.array(counts)], names=["bucket", "n"])
+        held, many = [], 0
 
-    out = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    for bucket, total in arrow_map(docs.select(text_col), run, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect():
-        out[bucket] = total
-    return out
+        def counted():
+            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            cells = values >> np.uint64(CELL)
+            starts = np.flatnonzero(np.diff(cells, prepend=cells[0] + np.uint64(1)))
+            rows = [(int(cells[a]), packed(values[a:b] & np.uint64((1 << CELL) - 1)), packed_small(counts[a:b].astype(np.uint32))) for a, b in zip(starts, [*starts[1:], len(values)], strict=True)]
+            cell, counters, numbers = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(counters, pa.binary()), pa.array(numbers, pa.binary())], names=["cell", "counters", "numbers"])
 
+        for batch in batches:
+            for found in shingle_sets(batch.column(0).to_pylist(), n):
+                held.append(found >> np.uint64(64 - bits))
+                many += len(found)
+                if many >= HELD:
+                    yield from counted()
+                    held, many = [], 0
+        if many:
+            yield from counted()
+
+    def total(table):
+        import pyarrow as pa
 
-def describe(docs: DataFrame, n: int, num: int, den: int, levels: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+        counts = np.zeros(1 << CELL, np.int64)
+        for counters, numbers in zip(table.column("counters"), table.column("numbers"), strict=True):
+            counts[np.cumsum(unpacked_small(counters.as_buffer()), dtype=np.int64)] += unpacked_small(numbers.as_buffer())
+        common = np.flatnonzero(counts >= COMMON)
+        cell = table.column("cell")[0].as_py()
+        return pa.table({"counter": pa.array(common + (cell << CELL), pa.int64()), "level": pa.array(np.floor(4 * np.log2(counts[common])).astype(np.int32))})
+
+    cells = arrow_map(docs.select(text_col), run, "cell long, counters binary, numbers binary")
+    found = materialize(cells.groupBy("cell").applyInArrow(total, "counter long, level int"), "jaccard-common")
+    by_level = sorted(((r["level"], r["count"]) for r in found.groupBy("level").count().collect()), reverse=True)
+    least, held = 1 << 30, 0
+    for level, count in by_level:
+        held += count
+        if held > MOST:
+            break
+        least = level
+    told = found.where(F.col("level") >= least).toArrow().sort_by("counter")
+    return Order(bits, told["counter"].to_numpy().astype(np.uint64), told["level"].to_numpy().astype(np.uint8))
+
+
+def describe(docs: DataFrame, n: int, num: int, den: int, order: Order, id_col: str, text_col: str) -> DataFrame:
     """For each document: id, n_shingles, two signatures of its set, its candidate keys and its parity sketch."""
-    mask = np.uint64(len(levels) - 1)
     words = PARITY // 64
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            sizes, signs, keys, fixed, own = [], [], [], [], []
+            sizes, signs, keys, sketches = [], [], [], []
             for found in shingle_sets(batch.column(1).to_pylist(), n):
                 k = len(found)
                 sizes.append(k)
                 signs.append((int(mix(found).sum(dtype=np.uint64)), int(mix(found * np.uint64(7)).sum(dtype=np.uint64))))
-                order = np.argsort(levels[(found & mask).astype(np.int64)], kind="stable")
-                keys.append(found[order[: k - -(-num * k // den) + 1]] if k else found)
-                fixed.append(parity(found, PARITY).view(np.int64))
-                own.append(parity(found, max(PARITY, 1 << k.bit_length())).tobytes())
+                keys.append(found[np.argsort(order.level(found), kind="stable")[: k - -(-num * k // den) + 1]] if k else found)
+                sketches.append(parity(found).view(np.int64))
             signs = np.array(signs, dtype=np.uint64).reshape(-1, 2).view(np.int64)
             ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
-            sketch = np.array(fixed).reshape(-1, words)
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(signs[:, 0]), pa.array(signs[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), *(pa.array(sketch[:, i]) for i in range(words)), pa.array(own, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "s1", "s2", "keys", *(f"w{i}" for i in range(words)), "sketch"])
+            sketches = np.array(sketches).reshape(-1, words)
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(signs[:, 0]), pa.array(signs[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), *(pa.array(sketches[:, i]) for i in range(words))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "s1", "s2", "keys", *(f"p{i}" for i in range(words))])
 
-    schema = "id long, n long, s1 long, s2 long, keys array<long>, " + ", ".join(f"w{i} long" for i in range(words)) + ", sketch binary"
+    schema = "id long, n long, s1 long, s2 long, keys array<long>, " + ", ".join(f"p{i} long" for i in range(words))
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("id"), text_col), run, schema)
 
 
-def parity(found: np.ndarray, bits: int) -> np.ndarray:
+def parity(found: np.ndarray, bits: int = PARITY) -> np.ndarray:
     """Which of ``bits`` (a power of two) the hashes hit an odd number of times, packed in bytes."""
     hits = np.bincount(((found >> np.uint64(24)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((hits & 1).astype(np.uint8), bitorder="little")
 
 
-def differing(a: bytes, b: bytes) -> int:
-    """Differing bits of two parity sketches; the longer is folded to the length of the shorter."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    if len(x) > len(y):
-        x, y = y, x
-    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
-    return int(np.bitwise_count(x ^ y).sum())
+def segments(found: np.ndarray, order: Order) -> list[np.ndarray]:
+    """The set cut at the fragments of the global order, each segment sorted."""
+    at = order.fragment(found)
+    sorted_ = found[np.argsort(at, kind="stable")]
+    return np.split(sorted_, np.cumsum(np.bincount(at, minlength=FRAGMENTS))[:-1])
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Common hashes of two sorted sets: partial overlaps of the fragments of the hash range, summed."""
-    cuts = (np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(64 - 3)).astype(np.uint64)
-    x, y = [0, *np.searchsorted(a, cuts).tolist(), len(a)], [0, *np.searchsorted(b, cuts).tolist(), len(b)]
-    total = 0
-    for f in range(FRAGMENTS):
-        both = np.concatenate([a[x[f] : x[f + 1]], b[y[f] : y[f + 1]]])
-        both.sort()
-        total += int(np.count_nonzero(both[1:] == both[:-1]))
-    return total
+    """Common hashes of two segments."""
+    both = np.concatenate([a, b])
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
 class Join:
-    """The steps over one table of documents; ``links`` and ``classes`` are the results."""
+    """The steps over one table of documents; ``links`` and the classes that ``run`` returns are the results."""
 
     def __init__(self, docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text"):
         self.docs, self.n, self.num, self.den, self.id_col, self.text_col = docs, n, num, den, id_col, text_col
-        levels = np.floor(4 * np.log2(np.maximum(count_buckets(docs, n, text_col), 1))).astype(np.uint8)
-        self.rows = materialize(describe(docs, n, num, den, levels, id_col, text_col), "jaccard-rows")
+        self.order = count_order(docs, n, text_col)
+        self.rows = materialize(describe(docs, n, num, den, self.order, id_col, text_col), "jaccard-rows")
         self.nodes = self.rows.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("node"))
 
-    def fits(self, a: str, b: str, sketch: str, bits: int):
-        """Conditions that every pair that links meets."""
-        low, high = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-        differ = sum((F.bit_count(F.col(f"{a}.{sketch}{i}").bitwiseXOR(F.col(f"{b}.{sketch}{i}"))) for i in range(bits // 64)), F.lit(0))
-        most = (F.col(f"{a}.n") + F.col(f"{b}.n")) * (self.den - self.num)
+    def fits(self):
+        """Conditions on x and y that every pair that links meets."""
+        low, high = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+        differ = sum((F.bit_count(F.col(f"x.p{i}").bitwiseXOR(F.col(f"y.p{i}"))) for i in range(PARITY // 64)), F.lit(0))
+        most = (F.col("x.n") + F.col("y.n")) * (self.den - self.num)
         return (low * self.den >= high * self.num) & (differ * (self.den + self.num) <= most)
 
+    def reaches(self, overlaps):
+        """Whether so many common shingles are enough for sets of na and nb."""
+        return overlaps * (self.den + self.num) >= (F.col("na") + F.col("nb")) * self.num
+
     def members(self) -> DataFrame:
-        """Rows (key, id, n, folded sketch, many) of keys with two nodes or more."""
+        """Rows (key, id, n, sketch, many) of keys with two nodes or more."""
         first = self.nodes.select(F.col("node").alias("id"), "s1", "s2")
         own = materialize(self.rows.join(first, ["id", "s1", "s2"]).drop("s1", "s2"), "jaccard-nodes")
-        part = FOLDED // 64
-        folded = [functools.reduce(lambda x, y: x.bitwiseXOR(y), [F.col(f"w{j}") for j in range(i, PARITY // 64, part)]).alias(f"p{i}") for i in range(part)]
-        self.wide, self.sketches = own.drop("keys", "sketch"), own.select("id", "n", "sketch")
         keyed = own.select(F.explode("keys").alias("key"), "id")
         many = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-        return materialize(keyed.join(many, "key").join(own.select("id", "n", *folded), "id"), "jaccard-members")
+        return materialize(keyed.join(many, "key").join(own.drop("keys"), "id"), "jaccard-members")
 
-    def sets_of(self, wanted: DataFrame) -> DataFrame:
-        """(node, set) of the wanted nodes (column node)."""
+    def fragments_of(self, wanted: DataFrame) -> DataFrame:
+        """The vertical partition of the sets of the wanted nodes (column node): node, f, part, lead.
+
+        The leading fragment of a node is a row even where it is empty.
+        """
         docs = self.docs.select(F.col(self.id_col).cast("long").alias("node"), F.col(self.text_col).alias("_text"))
         at = lambda i: F.shiftrightunsigned(F.xxhash64("node"), 20 * i).bitwiseAND(F.lit((1 << BLOOM) - 1))
         words = None
@@ -156,7 +244,7 @@ class Join:
             for word, value in bits.collect():
                 words[word] = value
             docs = docs.select("node", "_text", *[at(i).alias(f"at{i}") for i in range(3)])
-        n = self.n
+        n, order = self.n, self.order
 
         def run(batches):
             import pyarrow as pa
@@ -167,64 +255,58 @@ class Join:
                     bit = column.to_numpy()
                     kept &= (words[bit >> 6] >> (bit & 63)) & 1 == 1
                 batch = batch.filter(pa.array(kept))
-                found = list(shingle_sets(batch.column(1).to_pylist(), n))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(mix(x).sum(dtype=np.uint64).view(np.int64)) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "s1", "set"])
+                rows = []
+                for node, found in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), n), strict=True):
+                    sign = int(mix(found).sum(dtype=np.uint64).view(np.int64))
+                    rows += [(node, sign, f, part.tobytes(), f == 0) for f, part in enumerate(segments(found, order)) if f == 0 or len(part)]
+                names = ["node", "s1", "f", "part", "lead"]
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], pa.schema(zip(names, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()), strict=True)))
 
         exact = self.nodes.join(wanted, "node").select("node", "s1")
-        return arrow_map(docs, run, "node long, s1 long, set binary").join(exact, ["node", "s1"]).select("node", "set")
+        cut = arrow_map(docs, run, "node long, s1 long, f int, part binary, lead boolean").join(exact, ["node", "s1"]).select("node", "f", "part", "lead")
+        return materialize(cut, "jaccard-fragments", "lead")
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` (a, b) that link, with their overlap."""
-        num, den = self.num, self.den
-        near = pairs.join(self.wide.alias("x"), F.col("a") == F.col("x.id")).join(self.wide.alias("y"), F.col("b") == F.col("y.id")).where(self.fits("x", "y", "w", PARITY)).select("a", "b")
-        x, y = (self.sketches.select(F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("sketch").alias(f"s{i}")) for i in "ab")
+    @staticmethod
+    def partial(pairs: DataFrame, cut: DataFrame) -> DataFrame:
+        """Of every pair and fragment of ``cut`` apart: a, b, overlap and the sizes of both segments."""
 
-        def compare(batches):
+        def count(batches):
             import pyarrow as pa
 
             for batch in batches:
-                na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-                differ = np.array([differing(a.as_buffer(), b.as_buffer()) for a, b in zip(batch.column(4), batch.column(5), strict=True)], dtype=np.int64)
-                yield batch.filter(pa.array(differ * (den + num) <= (na + nb) * (den - num))).select(["a", "b"])
+                found = [tuple(np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in both) for both in zip(batch.column(2), batch.column(3), strict=True)]
+                columns = [[overlap(x, y) for x, y in found], [len(x) for x, _ in found], [len(y) for _, y in found]]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in columns)], names=["a", "b", "overlap", "in_a", "in_b"])
 
-        near = arrow_map(near.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "sa", "sb"), compare, "a long, b long")
-        pairs = materialize(near, "jaccard-near")
-        wanted = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "jaccard-wanted")
-        found = materialize(self.sets_of(wanted), "jaccard-sets")
-        full = pairs.join(found.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
+        x, y = (cut.select(F.col("node").alias(i), "f", F.col("part").alias(p)) for i, p in ("ax", "by"))
+        return arrow_map(pairs.select("a", "b").join(x, "a").join(y, ["b", "f"]).select("a", "b", "x", "y"), count, "a long, b long, overlap long, in_a long, in_b long")
 
-        def count(batches):
-            import pyarrow as pa
-
-            for batch in batches:
-                keep, overlaps = [], []
-                for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                    x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                    both = overlap(x, y)
-                    if den * both >= num * (len(x) + len(y) - both):
-                        keep.append(i)
-                        overlaps.append(both)
-                at = pa.array(keep, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(overlaps, pa.int64())], names=["a", "b", "overlap"])
-
-        return materialize(arrow_map(full, count, "a long, b long, overlap long").distinct(), "jaccard-links")
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (a, b, na, nb) that link, with their overlap."""
+        wanted = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "jaccard-wanted")
+        cut = self.fragments_of(wanted)
+        leading = pairs.join(self.partial(pairs, cut.where("lead")), ["a", "b"])
+        beyond = F.least(F.col("na") - F.col("in_a"), F.col("nb") - F.col("in_b"))
+        still = materialize(leading.where(self.reaches(F.col("overlap") + beyond)).select("a", "b", "na", "nb", "overlap"), "jaccard-open")
+        others = self.partial(still, cut.where("not lead")).select("a", "b", F.lit(0).alias("na"), F.lit(0).alias("nb"), "overlap")
+        total = still.union(others).groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("overlap").alias("overlap"))
+        return materialize(total.where(self.reaches(F.col("overlap"))).select("a", "b", "overlap"), "jaccard-links")
 
     def run(self) -> DataFrame:
         """Per document: id, n (set size) and component."""
         members = self.members()
         few, hot = members.where(F.col("many") <= FEW), members.where(F.col("many") > FEW)
-        pair = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
-        close = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & self.fits("x", "y", "p", FOLDED)).select(*pair)
+        close = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & self.fits())
         # The middle of the sizes, by a summary of bounded size; ties go to the lowest id.
         middle = hot.groupBy("key").agg(F.percentile_approx("n", 0.5, 100).alias("_mid"))
         pivot = hot.join(middle, "key").where("n = _mid").groupBy("key").agg(F.min("id").alias("_pivot"))
         star = hot.join(pivot, (hot["key"] == pivot["key"]) & (hot["id"] == pivot["_pivot"])).select(hot["*"]).dropDuplicates(["key"])
-        stars = hot.alias("x").join(star.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & self.fits("x", "y", "p", FOLDED)).select(*pair)
-        pairs = materialize(close.union(stars).distinct(), "jaccard-pairs")
+        stars = hot.alias("x").join(star.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & self.fits())
+        pairs = materialize(_pairs(close).union(_pairs(stars)).distinct(), "jaccard-pairs")
         links = self.verify(pairs)
         found = components(links)
         if not hot.isEmpty():
-            rest = materialize(self.across(hot, found).join(pairs, ["a", "b"], "left_anti"), "jaccard-rest")
+            rest = materialize(self.across(hot, found).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-rest")
             links = links.union(self.verify(rest))
             found = components(links)
         self.links = links
@@ -242,9 +324,15 @@ class Join:
         known = known.withColumn("_block", own).withColumn("_blocks", blocks)
         every = F.sequence(F.lit(0), F.col("_blocks") - 1)
         meets = known.withColumn("_meet", F.explode(F.transform(every, lambda o: F.least(o, F.col("_block")) * F.col("_blocks") + F.greatest(o, F.col("_block")))))
-        x, y = meets.alias("x"), meets.alias("y")
         on = (F.col("x.key") == F.col("y.key")) & (F.col("x._meet") == F.col("y._meet")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
-        return x.join(y, on & self.fits("x", "y", "p", FOLDED)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+        return _pairs(meets.alias("x").join(meets.alias("y"), on & self.fits())).distinct()
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """a < b with the sizes of their sets, of rows x and y."""
+    low = F.col("x.id") < F.col("y.id")
+    either = lambda c, name: (F.when(low, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")).alias(f"{name}a" if name else "a"), F.when(low, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")).alias(f"{name}b" if name else "b"))
+    return met.select(*either("id", ""), *either("n", "n"))
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:

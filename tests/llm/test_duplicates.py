@@ -9,7 +9,7 @@ import xxhash
 from kvlake.llm import jaccard_join
 from kvlake.llm.components import components
 from kvlake.llm.embedding_dedup import links_between, op9_embedding_dedup
-from kvlake.llm.jaccard_join import Join, differing, op8_jaccard_join, overlap, parity
+from kvlake.llm.jaccard_join import FRAGMENTS, Join, Order, count_order, op8_jaccard_join, overlap, packed, packed_small, parity, segments, unpacked_small
 from kvlake.llm.shingles import shingle_sets
 from kvlake.llm.winnowing import op7_fingerprints
 
@@ -82,14 +82,39 @@ def test_jaccard_query(spark, make_docs, copies, tables):
 def test_shingle_sets_and_bounds(copies):
     sets = list(shingle_sets(copies, 3))
     assert [len(s) for s in sets] == [len(shingles(t, 3)) for t in copies]
+    every, counts = np.unique(np.concatenate(sets), return_counts=True)
+    order = Order(64, every[counts > 4], (counts[counts > 4] % 60).astype(np.uint8))
     draw = random.Random(2)
     for _ in range(300):
         i, j = draw.randrange(len(sets)), draw.randrange(len(sets))
         a, b = sets[i], sets[j]
-        both = len(np.intersect1d(a, b))
-        assert overlap(a, b) == both == len(shingles(copies[i], 3) & shingles(copies[j], 3))
-        # A sketch, folded or not, never differs in more bits than the sets differ in shingles.
-        assert differing(parity(a, 256).tobytes(), parity(b, 1024).tobytes()) <= len(a) + len(b) - 2 * both
+        x, y = segments(a, order), segments(b, order)
+        assert len(x) == FRAGMENTS and np.array_equal(np.sort(np.concatenate(x)), a)
+        both = sum(overlap(p, q) for p, q in zip(x, y))
+        assert both == len(shingles(copies[i], 3) & shingles(copies[j], 3))
+        assert overlap(x[-1], y[-1]) == len(set(x[-1]) & set(y[-1])) and set(x[-1]) <= set(every[counts > 4])
+        # A sketch never differs in more bits than the sets differ in shingles.
+        assert np.bitwise_count(parity(a) ^ parity(b)).sum() <= len(a) + len(b) - 2 * both
+
+
+def test_packing_of_counters():
+    draw = np.random.default_rng(6)
+    for values in ([], [0], [255], [254, 255, 256, 0xFFFFFF00], draw.integers(0, 600, 2000), draw.integers(0, 2**32, 200)):
+        values = np.array(values, dtype=np.uint32)
+        assert np.array_equal(unpacked_small(packed_small(values)), values)
+    rising = np.unique(draw.integers(0, 1 << 20, 3000).astype(np.uint64))
+    assert np.array_equal(np.cumsum(unpacked_small(packed(rising))), rising)
+
+
+def test_counted_order(monkeypatch, make_docs, copies):
+    monkeypatch.setattr(jaccard_join, "HELD", 1000)
+    order = count_order(make_docs(copies), 3)
+    counts = np.unique(np.concatenate([s >> order.shift for s in shingle_sets(copies, 3)]), return_counts=True)
+    want = {int(c): int(4 * np.log2(k)) for c, k in zip(*counts) if k >= jaccard_join.COMMON}
+    assert want and dict(zip(order.common.tolist(), order.levels.tolist())) == want
+    monkeypatch.setattr(jaccard_join, "MOST", len(want) // 2)
+    few = count_order(make_docs(copies), 3)
+    assert 0 < len(few.common) <= len(want) // 2 and few.levels.min() > max([v for c, v in want.items() if c not in set(few.common.tolist())])
 
 
 def test_components(spark):
