@@ -1,22 +1,26 @@
 """Personal data in texts by weak supervision.
 
 Candidates come from strict patterns (the base kinds email, ip, card and phone, which are always kept) and wider ones:
-disguised addresses, numbers without a plus or with a failing check digit, account and social security numbers, names.
-Every candidate gets a vote (for, against, none) from six labelers: its pattern, a check (Luhn, ranges, mod 97), a
-gazetteer (domains, country codes, issuers, given names), words before it that speak for or against its kind, and its
-edges.  Expectation-maximisation over the counted vote patterns of the whole corpus estimates how reliable each labeler
-is and how likely each pattern is personal; a logistic span classifier on votes, kind and length is trained with those
-probabilities and decides about the candidates beyond the base ones.  Only the counts of patterns (at most KINDS x 3^6 x
-4) reach the driver.
-
-Null texts count as empty.  Offsets are code points, ends exclusive.  Repeated rows are searched each; an empty table
-gives an empty result and a classifier that adds nothing.
+disguised addresses, numbers without a plus or with a failing check digit, account and social security numbers, names,
+and secrets (keys, tokens and passwords: unbroken strings of letters and digits).
+Every candidate gets a vote (for, against, none) from six labelers: its pattern, a check (Luhn, ranges, mod 97, mixture
+of characters), a gazetteer (domains, country codes, issuers, given names, key prefixes), words before it that speak for
+or against its kind, and its edges.  Expectation-maximisation over the counted vote patterns of the whole corpus
+estimates how reliable each labeler is and how likely each pattern is personal; a logistic span classifier on votes, kind
+and length is trained with those probabilities and decides about the candidates beyond the base ones.  Only the counts
+of patterns (at most KINDS x 3^6 x 4) reach the driver.
+
+Null texts count as empty.  Offsets are code points, ends exclusive.  Every scan takes time in proportion to the text,
+whatever it holds, and whole texts are read, however long.  Of candidates that overlap, the leftmost, then the longest,
+then the first in the order of NARROW_FIRST counts.  Repeated rows are searched each; an empty table gives an empty result and a
+classifier that adds nothing.  ``find`` reads the id and the text only; ``mask`` returns all columns, whatever their
+names, and changes the text alone.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -27,32 +31,48 @@ from pyspark.sql import functions as F
 from kvlake.llm.common import arrow_map
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "name", "ssn")
+KINDS = (*BASE, "iban", "name", "secret", "ssn")
+#: Which kind a candidate is if patterns of several kinds match the same characters.
+NARROW_FIRST = ("email", "ssn", "iban", "card", "ip", "phone", "secret", "name")
 LABELERS = 6
+#: The labelers of words before a candidate.
+WORDS = (3, 4)
+#: The least that a word before a candidate counts, in log odds.
+LEAST_WORD = float(np.log(4))
 #: An added span needs this probability.
 ADD_FROM = 0.8
 #: Characters before a candidate in which words count.
 NEAR = 40
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# Scans start at the first character of a run only and never step back, so no text takes quadratic time.
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_AT = re.compile(r"[(\[{][aA][tT][)\]}]")
+_NOT_DIGITS = re.compile(r"[^0-9]+")
+_AT = re.compile(r"[(\[{]at[)\]}]| at ", re.I)
+_DISGUISED = r"\s?(?:\(at\)|\[at\]|\{at\})\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\(dot\)|\[dot\]|\{dot\}|\.)\s?[A-Za-z0-9-]{1,63})+| at [A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{1,63})+"
 _WIDE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?(?:\(at\)|\[at\]|\{at\})\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\(dot\)|\[dot\]|\{dot\}|\.)\s?[A-Za-z0-9-]{1,63})+", re.I),
+    "email": re.compile(rf"[A-Za-z0-9._%+-]{{1,64}}(?:{_DISGUISED})", re.I),
     "phone": re.compile(r"(?<![\w.+-])\(?[0-9]{2,5}\)?(?:[ ./-][0-9]{2,5}){1,4}(?![\w-])"),
     "card": re.compile(r"(?<!\w)[0-9](?:[ -]?[0-9]){12,18}(?!\w)"),
     "ssn": re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
-    "name": re.compile(r"(?<!\w)[A-Z][a-z]{1,20}\.? [A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30})?(?!\w)"),
+    "secret": re.compile(r"(?<![\w+/=-])[A-Za-z0-9+/_-]{16,128}={0,2}(?![\w+/=-])"),
+    "name": re.compile(r"(?<!\w)(?=([A-Z][^\W\d_]{1,20}\.? [A-Z][^\W\d_]{1,30}(?:-[A-Z][^\W\d_]{1,30})?(?: [A-Z][^\W\d_]{1,30})?)(?!\w))"),
 }
 
 # Gazetteers and cue words (fixed values).
 DOMAINS = set("com org net edu gov info biz io de fr es it uk us eu ch at nl be pt pl se no dk fi ca au br jp cn in ru".split())
 COUNTRY_CODES = tuple("1 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 60 61 62 63 64 65 66 7 81 82 86 90 91".split())
-GIVEN = set("James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Anna Peter Paul Maria Hans Klaus Ursula Jean Pierre Marie Claude Jose Carmen Carlos Juan Ana Luis Laura Emma Olivia Lucas Sophie".split())
+GIVEN = set(
+    "James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Christopher Lisa Daniel Nancy Matthew Betty Anthony Margaret Mark Sandra Donald Ashley Steven Kimberly Andrew Emily Paul Donna Joshua Michelle Kenneth Carol Kevin Amanda Brian Melissa George Deborah "
+    "Anna Peter Maria Hans Klaus Ursula Wolfgang Monika Jürgen Petra Dieter Sabine Stefan Andrea Jean Pierre Marie Claude Michel Nathalie Philippe Isabelle Alain Sylvie Nicolas Catherine François Françoise Jose José Carmen Carlos Juan Ana Luis Laura Antonio Francisco Manuel Isabel Javier Lucia Lucía Miguel Elena Pablo Emma Olivia Lucas Sophie Noah Mia Liam Leon Hannah Louis Chloé Ivan Olga Dmitri Natalia Mohammed Fatima Ahmed Aisha Wei Li Yuki Hiroshi Priya Raj".split()
+)
+#: Beginnings of keys and tokens of well-known services.
+KEY_PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "github_pat_", "glpat-", "sk-", "sk_live_", "pk_live_", "xoxb-", "xoxp-", "eyJ", "SG_", "npm_")
 TITLES = set("Mr Mrs Ms Dr Prof Herr Frau Mme Mlle Monsieur Madame Sr Sra Don".split())
 CUES = {
     "email": ("mail", "contact", "write to", "reach", "correo"),
@@ -61,8 +81,11 @@ CUES = {
     "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "appel", "llam"),
     "iban": ("iban", "account", "konto", "compte", "cuenta", "bank"),
     "name": ("name", "mr", "mrs", "dear", "signed", "herr", "frau", "by"),
+    "secret": ("token", "secret", "password", "passwd", "pwd", "key", "bearer", "credential", "kennwort", "passwort", "contraseña", "clave", "mot de passe"),
     "ssn": ("ssn", "social security", "tax id"),
 }
+#: Words before an unbroken string that speak of a digest or a name of a thing.
+DIGESTS = ("sha", "md5", "checksum", "digest", "commit", "hash", "uuid", "integrity", "etag", "revision")
 AGAINST = ("version", "isbn", "issn", "order", "invoice", "page", "chapter", "no.", "nr.", "$", "€", "#", "id=", "build", "release", "v.")
 
 
@@ -71,22 +94,47 @@ def luhn(digits: str) -> bool:
     return (sum(values[::2]) + sum(sum(divmod(2 * v, 10)) for v in values[1::2])) % 10 == 0
 
 
+def byte_sized(part: str) -> bool:
+    """Whether a decimal number of any length is at most 255."""
+    part = part.lstrip("0")
+    return len(part) < 3 or len(part) == 3 and part <= "255"
+
+
+def email_spans(text: str) -> list[tuple[int, int]]:
+    """Addresses, found from each at sign: the run before it, as far as no address has taken it, and the domain after it."""
+    found, free, at = [], 0, text.find("@")
+    while at >= 0:
+        after = _DOMAIN.match(text, at + 1)
+        before = _LOCAL.match(text[free:at][::-1]) if after else None
+        free = at + 1
+        if before:
+            found.append((at - before.end(), after.end()))
+            free = after.end()
+        at = text.find("@", free)
+    return found
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The strict kinds, leftmost and not overlapping within a kind; matches that fail their check are dropped."""
-    found = []
-    if "@" in text:
-        found += [("email", *m.span()) for m in _EMAIL.finditer(text)]
+    found = [("email", a, b) for a, b in email_spans(text)]
     if _DIGIT.search(text):
-        found += [("ip", *m.span()) for m in _IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        found += [("ip", *m.span()) for m in _IP.finditer(text) if all(map(byte_sized, m[0].split(".")))]
         for m in _CARD.finditer(text):
-            digits = m[0].replace(" ", "").replace("-", "")
-            if 12 <= len(digits) <= 19 and luhn(digits):
-                found.append(("card", *m.span()))
+            if m.end() - m.start() >= 12:
+                digits = m[0].replace(" ", "").replace("-", "")
+                if 12 <= len(digits) <= 19 and luhn(digits):
+                    found.append(("card", *m.span()))
         if "+" in text:
-            found += [("phone", *m.span()) for m in _PHONE.finditer(text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+            found += [("phone", *m.span()) for m in _PHONE.finditer(text) if 9 <= len(_NOT_DIGITS.sub("", m[0])) <= 15]
     return sorted(found, key=lambda s: (s[1], BASE.index(s[0])))
 
 
+def mixed(span: str) -> bool:
+    """Whether a string has letters, at least four digits and many different characters, as keys and tokens have."""
+    digits = len(span) - len(re.sub("[0-9]", "", span))
+    return 4 <= digits < len(span) and len(set(span)) >= 8
+
+
 def wide_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Further candidates that overlap neither base spans nor each other, leftmost first."""
     found = []
@@ -95,13 +143,23 @@ def wide_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
     if _DIGIT.search(text):
         for kind in ("phone", "ssn", "iban", "card"):
             found += [(kind, *m.span()) for m in _WIDE[kind].finditer(text)]
+        found += [("secret", *m.span()) for m in _WIDE["secret"].finditer(text) if mixed(m[0])]
     for m in _WIDE["name"].finditer(text):
-        words = m[0].replace(".", "").split()
-        if words[0] in TITLES or words[0] in GIVEN:
-            found.append(("name", *m.span()))
+        words = m[1].replace(".", "").split()
+        if words[0] in TITLES or words[0] in GIVEN and "." not in m[1]:
+            found.append(("name", *m.span(1)))
+    # Base spans merged to disjoint ones, so that one step of a search finds what overlaps.
+    begins, ends = [], []
+    for _, a, b in taken:
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            begins.append(a)
+            ends.append(b)
     kept, end = [], 0
-    for kind, a, b in sorted(found, key=lambda s: (s[1], -s[2], KINDS.index(s[0]))):
-        if a >= end and not any(a < y and x < b for _, x, y in taken):
+    for kind, a, b in sorted(found, key=lambda s: (s[1], -s[2], NARROW_FIRST.index(s[0]))):
+        before = bisect_left(begins, b) - 1
+        if a >= end and (before < 0 or ends[before] <= a):
             kept.append((kind, a, b))
             end = b
     return kept
@@ -114,15 +172,15 @@ def _vote(sure: bool | None) -> int:
 def votes(text: str, kind: str, a: int, b: int, strict: bool) -> tuple[int, ...]:
     """0 no vote, 1 for, 2 against, from each labeler; then the class of length."""
     span = text[a:b]
-    digits = re.sub("[^0-9]", "", span)
+    digits = _NOT_DIGITS.sub("", span)
     before = text[max(0, a - NEAR) : a].lower()
     check: bool | None = None
     known: bool | None = None
     if kind == "email":
-        tail = re.split(r"[.\]\)\}\s]+", span)[-1].lower()
+        tail = re.split(r"[.\]\)\}\s]+", span[-80:])[-1].lower()
         check, known = (not tail.isdigit() or None), tail in DOMAINS or None
     elif kind == "ip":
-        check = all(int(p) <= 255 for p in span.split("."))
+        check = all(map(byte_sized, span.split(".")))
     elif kind == "card":
         check, known = luhn(digits), digits[0] in "3456"
     elif kind == "phone":
@@ -136,9 +194,12 @@ def votes(text: str, kind: str, a: int, b: int, strict: bool) -> tuple[int, ...]
     elif kind == "name":
         words = span.replace(".", "").split()
         known = any(w in GIVEN for w in words[:2]) and words[-1] not in GIVEN or None
+    elif kind == "secret":
+        check, known = sum(c.isdigit() for c in span) * 8 >= len(span) and len(set(span)) >= 10, span.startswith(KEY_PREFIXES) or None
     cue = any(re.search(rf"(?<!\w){re.escape(c)}", before) for c in CUES[kind]) or None
-    against = False if any(c in before[-16:] for c in AGAINST) else None
-    edges = not (a and (text[a - 1].isalnum() or text[a - 1] in "=_/") or b < len(text) and (text[b].isalnum() or text[b] in "=_/"))
+    against = False if any(c in before[-16:] for c in (DIGESTS if kind == "secret" else AGAINST)) else None
+    open_to = "_/" if kind == "secret" else "=_/"
+    edges = not (a and (text[a - 1].isalnum() or text[a - 1] in open_to) or b < len(text) and (text[b].isalnum() or text[b] in "=_/"))
     return (*map(_vote, (strict or None, check, known, cue, against, edges)), min((b - a) // 8, 3))
 
 
@@ -168,7 +229,12 @@ class SpanModel:
 
 
 def expect(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 50) -> np.ndarray:
-    """Probability of being personal for each counted vote pattern, by EM over two classes."""
+    """Probability of being personal for each counted vote pattern, by EM over two classes.
+
+    Of the labelers WORDS, which look at the words before a candidate, silence counts as a vote of its own: whether such a
+    word is there tells something.  The others are silent where they can't tell, which says nothing.  No labeler is
+    taken to be worse than chance, and a word before a candidate counts LEAST_WORD at least.
+    """
     marks = np.array([p[1][:LABELERS] for p in patterns])
     n = np.array([p[2] for p in patterns], dtype=float)
     kinds = np.array([KINDS.index(p[0]) for p in patterns])
@@ -176,14 +242,20 @@ def expect(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 50) -
     # The first estimate is the majority of votes.
     p = (for_ + 0.5) / (for_ + against + 1)
     for _ in range(rounds):
-        log = np.zeros((len(n), 2))
-        for y, weight in enumerate((n * (1 - p), n * p)):
-            share = np.bincount(kinds, weight + 1e-9, len(KINDS)) + 1
-            log[:, y] += np.log(share / (np.bincount(kinds, n, len(KINDS)) + 2))[kinds]
-            for i in range(LABELERS):
-                seen = np.bincount(marks[:, i], weight, 3) + 1
-                log[:, y] += np.log(seen / seen.sum())[marks[:, i]]
-        p = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -500, 500)))
+        both = n * (1 - p), n * p
+        share = np.array([np.bincount(kinds, w, len(KINDS)) + 1 for w in both])
+        odds = np.log(share[1] / share[0])[kinds]
+        for i in range(LABELERS):
+            seen = np.array([np.bincount(marks[:, i], w, 3) + 1 for w in both])
+            if i not in WORDS:
+                seen[:, 0] = 0
+            rate = seen / seen.sum(axis=1, keepdims=True)
+            gain = np.log(np.where(rate[1] > 0, rate[1], 1.0)) - np.log(np.where(rate[0] > 0, rate[0], 1.0))
+            # No vote speaks for the other side; one of a word that stands there speaks for its own.
+            least = LEAST_WORD if i in WORDS else 0.0
+            gain[1], gain[2] = max(gain[1], least), min(gain[2], -least)
+            odds += gain[marks[:, i]]
+        p = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
     return p
 
 
