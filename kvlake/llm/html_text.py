@@ -2,24 +2,29 @@
 
 Every DOM node has characters C, tags T, link characters LC and link tags LT (of its subtree).  Its density is
 ``C/T * log_b(C/LC * T/LT)`` with ``b = ln(C/(C-LC) * LC + LCbody/Cbody * C + e)``, so link lists are pushed down.  The
-subtree whose children's densities have the largest sum is the seed; the least density on its path up to the body is
-the threshold.  The seed, widened to the outermost ``article`` (else ``main``) element around it, is the content together
-with every other subtree that reaches the threshold, and headings beside them.
+subtree whose children's densities have the largest sum is the seed (inline elements belong to their block); the least
+density on its path up to the body is the threshold.  The seed and every other subtree that reaches the threshold are
+content.  Where these make up most of the text of the nearest node around them, below the body, all of that node is
+content; around the seed an ``article`` or ``main`` element needs half of its text for that.  Headings beside content
+belong to it.
 
 Menus, forms, asides and hidden elements are left out wherever they stand.  Words of class, id and role (adverts, comments
-and the like) and lists of links leave a subtree out only beside the widened seed; inside it only marks on what is mostly
+and the like) and lists of links leave a subtree out only beside the seed and such regions; inside them only marks on what is mostly
 links, or a class or id that is wholly the name of an advert or of comments.  A subtree with more than half of the page's
 text that isn't links is only left out if the mark is its whole class or id, and not if less than a fifth of the text
 would be left; if it still would be, no mark counts.
 
 Blocks are the block-level elements; white space in them becomes one space, they are joined by a line feed in page
 order.  Null and empty pages give an empty text.  Broken markup (unclosed or stray tags, cut-off pages) is read as
-browsers do in the usual cases.  Repeated rows are extracted each; an empty table gives an empty result.
+browsers do in the usual cases.  Time is in proportion to the page, however long or deep it is.  Equal sums go to the
+first node of the page.  Repeated rows are extracted each; an empty table gives an empty result; only the columns asked
+for and the html are read, whatever others are called.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from html import unescape
 from math import e, log
 
@@ -34,6 +39,9 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code"
 ENDS_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 #: An opening tag closes the nearest of these, if it stands above any of those.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+TOP = {"#root", "html", "body"}
+#: Share of a region's text that must be kept for the whole region to be content.
+MOST = 0.8
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements and words of class, id and role that mark what is not the article.
 NOT_TEXT = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "input", "menu", "dialog", "svg", "canvas", "object", "embed", "audio", "video", "map", "math"}
@@ -49,6 +57,7 @@ _ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _MARKS = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
+_ENDS = {tag: re.compile("</" + tag, re.I | re.A) for tag in RAW}
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -58,7 +67,11 @@ class Page:
 
     def __init__(self, html: str):
         self.tag, self.parent, self.out, self.mark = ["#root"], [-1], [False], [0]
+        #: Places in the stack of open elements: of each tag, and of all that aren't inline.
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
         self.items: list[tuple[int, str | None]] = []
+        self._below_of: dict[int, list[int]] = {}
         self._read(html)
         self._measure()
 
@@ -68,7 +81,7 @@ class Page:
         if tag in SIBLINGS:
             self._close_within(stack, *SIBLINGS[tag])
         node = len(self.tag)
-        out = tag in NOT_TEXT or tag == "header" and not any(self.tag[i] in ("article", "main") for i in stack)
+        out = tag in NOT_TEXT or tag == "header" and not (self.places["article"] or self.places["main"])
         mark = 0
         if attributes and not out:
             marks = [m[1].strip("\"'") for m in _MARKS.findall(attributes)]
@@ -83,19 +96,28 @@ class Page:
         self.mark.append(mark)
         self.items.append((node, None))
         if tag not in VOID:
+            self.places[tag].append(len(stack))
+            if tag not in INLINE:
+                self.blocks.append(len(stack))
             stack.append(node)
 
+    def _cut(self, stack: list[int], at: int) -> None:
+        """Close all elements from a place in the stack on."""
+        for node in reversed(stack[at:]):
+            tag = self.tag[node]
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+        del stack[at:]
+
     def _close_within(self, stack: list[int], tags: set[str], walls: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[i]] in tags:
-                del stack[i:]
-                return
-            if self.tag[stack[i]] in walls:
-                return
+        """Close the nearest open element of these tags, if no wall stands nearer."""
+        near = max((self.places[t][-1] for t in tags if self.places[t]), default=0)
+        if near and near > max((self.places[t][-1] for t in walls if self.places[t]), default=0):
+            self._cut(stack, near)
 
     def _read(self, html: str) -> None:
         stack, at, n = [0], 0, len(html)
-        lower = None
         while at < n:
             lt = html.find("<", at)
             if lt < 0:
@@ -127,20 +149,16 @@ class Page:
             tag = name[0].lower()
             at = end
             if closing:
-                for i in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[i]] == tag:
-                        del stack[i:]
-                        break
-                    if tag in INLINE and self.tag[stack[i]] not in INLINE:
-                        break
-                else:
-                    if tag == "p":
-                        self.items.append((stack[-1], None))
+                place = self.places[tag][-1] if self.places[tag] else 0
+                # The end of an inline element reaches no further than the block around it.
+                if place and (tag not in INLINE or not self.blocks or place > self.blocks[-1]):
+                    self._cut(stack, place)
+                elif tag == "p":
+                    self.items.append((stack[-1], None))
                 continue
             if tag in RAW:
-                lower = lower or html.lower()
-                end = lower.find("</" + tag, at)
-                end = n if end < 0 else lower.find(">", end) + 1 or n
+                close = _ENDS[tag].search(html, at)
+                end = n if not close else html.find(">", close.end()) + 1 or n
                 at = end
                 continue
             self._open(stack, tag, html[name.end() : end - 1])
@@ -192,7 +210,7 @@ class Page:
         return out
 
     def content(self) -> list[bool]:
-        """Which nodes belong to the main text."""
+        """Which nodes belong to the main text; ``seed`` and ``threshold`` are left behind."""
         n = len(self.tag)
         left_out = self._left_out()
         # Lists and tables that are mostly links are menus without a mark.
@@ -202,33 +220,72 @@ class Page:
             return [False] * n
         sums = [0.0] * n
         for i in range(1, n):
-            if not left_out[i]:
+            # Inline elements are part of their block.
+            if not left_out[i] and self.tag[i] not in INLINE:
                 sums[self.parent[i]] += self.density[i]
-        seed = max(alive, key=lambda i: (sums[i], self.density[i] if not sums[i] else 0.0, -i))
+        self.seed = seed = max(alive, key=lambda i: (sums[i], self.density[i] if not sums[i] else 0.0, -i))
         path, node = [], seed
         while node > 0:
             path.append(node)
             node = self.parent[node]
-        threshold = min((self.density[i] for i in path), default=0.0)
-        chosen = next((found[-1] for kind in ("article", "main") if (found := [i for i in path if self.tag[i] == kind])), seed)
-        if self.tag[chosen] not in ("#root", "html", "body"):
+        self.threshold = min((self.density[i] for i in path), default=0.0)
+        above = set(path)
+        kept = {seed} | {i for i in alive if i and self.density[i] >= self.threshold and i not in above and self.tag[i] not in INLINE}
+        wide = {seed} | self._regions(kept, gone, path)
+        kept |= wide
+        if wide := {i for i in wide if self.tag[i] not in TOP}:
             # Inside the content, marks count less and lists of links belong to it.
             within = [False] * n
-            for i in range(chosen, n):
-                within[i] = i == chosen or within[self.parent[i]]
-            out = self._below([self.out[i] or within[i] and i != chosen and (self.mark[i] == 3 or self.mark[i] > 0 and 2 * self.link_chars[i] > self.chars[i]) for i in range(n)])
+            for i in range(1, n):
+                within[i] = i in wide or within[self.parent[i]]
+            out = self._below([self.out[i] or within[i] and i not in wide and (self.mark[i] == 3 or self.mark[i] > 0 and 2 * self.link_chars[i] > self.chars[i]) for i in range(n)])
             gone = [out[i] if within[i] else g for i, g in enumerate(gone)]
-        kept, beside, above = {chosen}, {self.parent[chosen]}, set(path)
-        for i in alive:
-            if i and self.density[i] >= threshold and i not in above and self.tag[i] not in INLINE:
-                kept.add(i)
-                beside.add(self.parent[i])
-        kept |= {i for i in alive if self.tag[i] in HEADINGS and self.parent[i] in beside}
+        beside = {self.parent[i] for i in kept}
+        kept |= {i for i in alive if self.tag[i] in HEADINGS and (p := self.parent[i] if self.tag[self.parent[i]] not in ("header", "hgroup") else self.parent[self.parent[i]]) >= 0 and p in beside}
         inside = [False] * n
         for i in range(n):
             inside[i] = not gone[i] and (i in kept or i > 0 and inside[self.parent[i]])
         return inside
 
+    def _regions(self, kept: set[int], gone: list[bool], path: list[int]) -> set[int]:
+        """Nodes around kept ones that are content as a whole, since kept text makes up most of theirs.
+
+        These are, in each branch below the body, the nearest node around all that is kept in it, from MOST of its text on,
+        and an ``article`` or ``main`` around the seed, from half of it on.
+        """
+        n = len(self.tag)
+        held, count, text, lost = [False] * n, [0] * n, [0] * n, [0] * n
+        for i in range(n):
+            held[i] = i in kept or i > 0 and held[self.parent[i]]
+        plain = [c - lc for c, lc in zip(self.chars, self.link_chars, strict=True)]
+        for i in range(n - 1, -1, -1):
+            p = self.parent[i]
+            if gone[i]:
+                lost[i] = plain[i]
+            if held[i] and not (i and held[p]):
+                count[i], text[i] = 1, plain[i] - lost[i]
+            if i:
+                lost[p] += lost[i]
+                count[p] += count[i]
+                text[p] += text[i]
+        all_text = [c - x for c, x in zip(plain, lost, strict=True)]  # what is left out counts neither way
+        found = set()
+        for i in range(1, n):
+            if count[i] > 1 and self.tag[self.parent[i]] in TOP and self.tag[i] not in TOP:
+                node, inner = i, i
+                while inner is not None:
+                    node, inner = inner, next((c for c in self._children(inner) if count[c] == count[i]), None)
+                if text[node] >= MOST * all_text[node]:
+                    found.add(node)
+        found |= {i for i in path if self.tag[i] in ("article", "main") and 2 * text[i] >= all_text[i]}
+        return found
+
+    def _children(self, node: int) -> list[int]:
+        if not self._below_of:
+            for i in range(1, len(self.tag)):
+                self._below_of.setdefault(self.parent[i], []).append(i)
+        return self._below_of.get(node, [])
+
     def text(self) -> str:
         inside = self.content()
         block = list(range(len(self.tag)))

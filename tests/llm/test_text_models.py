@@ -63,6 +63,82 @@ def test_text_beside_an_article(html, want):
     assert main_text(html) == want
 
 
+def page_of(draw, depth=0):
+    """A random element as (tag, children), where a child is a text or an element."""
+    word = lambda: "".join(draw.choice("abcdefgh,") for _ in range(draw.randrange(1, 9)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    if depth > 4 or depth and draw.random() < 0.45:
+        inline = [(draw.choice(["a", "b", "em"]), [words(draw.randrange(1, 6))]) for _ in range(draw.randrange(3))]
+        return draw.choice(["p", "h2", "pre"]), [words(draw.randrange(1, 40)), *inline, *([words(draw.randrange(5))] if inline else [])]
+    return "body" if not depth else draw.choice(["div", "section", "blockquote"]), [page_of(draw, depth + 1) for _ in range(draw.randrange(1, 5))]
+
+
+def brute_density(page):
+    """Densities, seed and threshold by the definitions, over the whole tree for every node."""
+    import math
+
+    nodes = []
+
+    def visit(element, up):
+        nodes.append((element, up))
+        me = len(nodes) - 1
+        for child in element[1]:
+            if isinstance(child, tuple):
+                visit(child, me)
+
+    visit(page, -1)
+    below = lambda element: [element, *(x for c in element[1] if isinstance(c, tuple) for x in below(c))]
+    length = lambda element: sum(len(c.replace(" ", "")) for e in below(element) for c in e[1] if isinstance(c, str))
+    links = lambda element: [e for e in below(element) if e[0] == "a"]
+    share = sum(map(length, links(page))) / length(page)
+    density = []
+    for element, _ in nodes:
+        c, t = length(element), len(below(element))
+        lc, lt = max(sum(map(length, links(element))), 1), max(len(links(element)), 1)
+        density.append(c / t * max(math.log(c / lc * t / lt), 0) / math.log(math.log(c / max(c - lc, 1) * lc + share * c + math.e)) if c else 0)
+    sums = [sum(density[j] for j, (e, up) in enumerate(nodes) if up == i and e[0] not in ("a", "b", "em")) for i in range(len(nodes))]
+    seed = max((i for i in range(len(nodes)) if length(nodes[i][0])), key=lambda i: (sums[i], density[i] if not sums[i] else 0, -i))
+    path, at = [], seed
+    while at >= 0:
+        path.append(at)
+        at = nodes[at][1]
+    threshold = min(density[i] for i in path)
+    kept = [nodes[seed][0]] + [nodes[i][0] for i in range(len(nodes)) if density[i] >= threshold and i not in path and nodes[i][0][0] not in ("a", "b", "em")]
+    texts = {c for e in kept for x in below(e) for c in x[1] if isinstance(c, str) and c.strip()}
+    return density, seed, threshold, texts
+
+
+def test_density_equals_brute_force():
+    draw = random.Random(31)
+    whole = lambda e: e if isinstance(e, str) else f"<{e[0]}>{''.join(map(whole, e[1]))}</{e[0]}>"
+    other = 0
+    for _ in range(150):
+        tree = page_of(draw)
+        page = html_text.Page(whole(tree))
+        density, seed, threshold, texts = brute_density(tree)
+        assert page.density[1:] == pytest.approx(density)
+        inside = page.content()
+        assert page.threshold == pytest.approx(threshold) and page.seed == seed + 1
+        found = {t for i, t in page.items if t and t.strip() and inside[i]}
+        assert texts <= found
+        other += found != {t for _, t in page.items if t and t.strip()}
+    assert other > 20  # pages of which only a part is content
+
+
+@pytest.mark.parametrize("html", ["<div>" * 100_000 + "x", "<div>" * 30_000 + "</x>" * 30_000, "<i><div>" + "<b>" * 20_000 + "</i>" * 20_000 + "t", "<i>" * 20_000 + "<h1>" * 20_000 + "t", "<div>" * 20_000 + "<header>" * 20_000 + "t", "<div><nav>n</nav>" * 20_000 + "text", "<script>" * 20_000, "<!--" * 20_000, "<a x=\"" * 20_000])
+def test_pages_take_linear_time(html):
+    import time
+
+    began = time.process_time()
+    main_text(html)
+    assert time.process_time() - began < 4
+
+
+def test_case_of_letters_that_change_length():
+    assert main_text("<p>İİİİİİİİİİ text one</p><ScRipt>x</SCRIPT ><p>tail words here and more</p>") == "İİİİİİİİİİ text one\ntail words here and more"
+    assert main_text(f"<article><p>{P1}</p><p class='notice period'>{P2}</p><div class='share-price'><p>{P2}</p></div></article>") == f"{P1}\n{P2}\n{P2}"
+
+
 def test_deep_and_long_pages():
     assert main_text("<div>" * 20_000 + "deep") == "deep"
     assert main_text(f"<article><p>{'word ' * 200_000}</article>") == " ".join(["word"] * 200_000)
