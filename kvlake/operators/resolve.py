@@ -38,12 +38,17 @@ def as_of(log: DataFrame, lsn: int) -> DataFrame:
     return live(log.where(F.col("lsn") <= lsn))
 
 
-def layered(layers: list[DataFrame]) -> DataFrame:
-    """Live state over layers (memtable, segments) in any order: records carry their LSN, so one aggregation resolves all."""
+def layered_raw(layers: list[DataFrame]) -> DataFrame:
+    """Newest rows over layers (memtable, segments) in any order: records carry their LSN, so one aggregation resolves all."""
     union = layers[0]
     for layer in layers[1:]:
         union = union.unionByName(layer)
-    return live(union)
+    return latest_per_key(union)
+
+
+def layered(layers: list[DataFrame]) -> DataFrame:
+    """Live state over layers."""
+    return layered_raw(layers).where(F.col("op") == PUT)
 
 
 def state_of(op: Column) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvlake.operators.resolve import latest_per_key, live
-from kvlake.schema import PUT
 
 
 def _state(log: DataFrame, include_deleted: bool) -> DataFrame:
@@ -66,8 +65,3 @@ def first_k(log: DataFrame, k: int, include_deleted: bool = False) -> DataFrame:
 def bounds(log: DataFrame) -> DataFrame:
     """min_key and max_key over all records."""
     return log.agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"))
-
-
-def bloom_semi_join(log: DataFrame, probes: DataFrame) -> DataFrame:
-    """Probes that occur in the log; Spark may put a runtime Bloom filter before the join's shuffle."""
-    return probes.select("key").join(log.where(F.col("op") == PUT).select("key"), "key", "left_semi")

@@ -5,6 +5,7 @@ Unless named otherwise they run on the change log of ``events`` (see adapters).
 
 from __future__ import annotations
 
+import functools
 import shutil
 import tempfile
 import weakref
@@ -14,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvlake.functions.expressions import log_frame, read_log_frame
-from kvlake.operators import resolve, scan, stats
+from kvlake.operators import bloom, resolve, scan, stats
 from kvlake.plans.adapters import conversations_kv, events_kv, events_of, orders_kv
 from kvlake.schema import PUT
-from kvlake.sources.files import decode_files, encode_files
+from kvlake.sources.files import closed, decode_files, encode_files, encode_segments, get_in_segments, with_lsn
+from kvlake.sources.logs import ChangeLog, IndexedLog
 from kvlake.sources.segments import KVTable, prefix_compression
 from kvlake.streaming import ingest
 
@@ -54,12 +56,14 @@ def _probes(spark: SparkSession) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder that executors share: under the checkpoint directory where one is set, else a temporary one."""
+    """A new folder that executors share: under the checkpoint directory; only on one machine a temporary one will do."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if top:
         import uuid
 
         return f"{top.rstrip('/')}/kvlake-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     path = tempfile.mkdtemp(prefix="kvlake-")
     weakref.finalize(spark, shutil.rmtree, path, ignore_errors=True)
     return path
@@ -95,13 +99,12 @@ def point_get_log(spark, sf_dir):
     return scan.get(events_kv(spark, sf_dir), "user:00042").select("key", "value")
 
 
-@query("SELECT l.key, l.value FROM latest l WHERE op = 1 AND key = 'user:00042'")
+@query("SELECT key, value, 'FOUND' AS state FROM latest WHERE op = 1 AND key = 'user:00042' UNION ALL SELECT 'user:00042', NULL, CASE WHEN max(op) = 2 THEN 'DELETED' ELSE 'ABSENT' END FROM latest WHERE key = 'user:00042' HAVING coalesce(max(op), 2) = 2")
 def point_get_index(spark, sf_dir):
-    """By way of the index: the offset of the newest record, then the record at that offset."""
-    log = events_kv(spark, sf_dir)
-    placed = stats.record_offsets(log)
-    index = resolve.latest_per_key(placed).where(F.col("op") == PUT).where(F.col("key") == "user:00042").select("key", "offset")
-    return placed.join(index, ["key", "offset"]).select("key", "value")
+    """By way of a stored index: the offset of the newest record, then the frame at that offset, whose checksum is verified."""
+    store = IndexedLog(spark, _folder(spark))
+    store.append(events_kv(spark, sf_dir))
+    return store.get("user:00042").select("key", F.col("value").cast("string").alias("value"), "state")
 
 
 @query("SELECT p.key, CASE l.op WHEN 1 THEN 'FOUND' WHEN 2 THEN 'DELETED' ELSE 'ABSENT' END AS state, CASE WHEN l.op = 1 THEN l.value END AS value FROM probes p LEFT JOIN latest l USING (key)")
@@ -206,19 +209,52 @@ def commit_batches(spark, sf_dir):
     return ingest.commit_batches(events_kv(spark, sf_dir), BATCH)
 
 
-@query("SELECT key, lsn, op FROM kv WHERE lsn >= 2001")
+@query("SELECT key, lsn, op FROM kv WHERE lsn >= 2001 AND lsn <= (SELECT max(lsn) FROM kv)")
 def truncate_before(spark, sf_dir):
-    return events_kv(spark, sf_dir).where(F.col("lsn") >= TRUNCATE_AT).select("key", "lsn", "op")
+    """A durable log in three batches, cut inside one of them."""
+    log = ChangeLog(spark, _folder(spark))
+    events = events_kv(spark, sf_dir)
+    log.append(events.withColumn("seq", F.col("lsn")), limit=max(1, -(-events.count() // 3)))
+    log.truncate_before(TRUNCATE_AT)
+    return log.read().select(F.col("key").cast("string").alias("key"), "lsn", F.col("op").cast("int").alias("op"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS violations")
+@query("SELECT key, lsn, op, value FROM kv UNION ALL SELECT 'k', (SELECT max(lsn) FROM kv) + 1, 1, 'v' UNION ALL SELECT 'k', (SELECT max(lsn) FROM kv) + 2, 2, NULL")
+def durable_append(spark, sf_dir):
+    """Appends of a whole log, of one put and of one deletion: the records under the LSNs that they were given."""
+    log = ChangeLog(spark, _folder(spark))
+    log.append(events_kv(spark, sf_dir).withColumn("seq", F.col("lsn")))
+    log.put(b"k", b"v")
+    log.delete(b"k")
+    return log.read().select(F.col("key").cast("string").alias("key"), "lsn", F.col("op").cast("int").alias("op"), F.col("value").cast("string").alias("value"))
+
+
+@query("SELECT key, op, value FROM latest")
+def flush_and_drop_log(spark, sf_dir):
+    """Two rounds of append, freeze, flush and truncation of the log: the state is in the table, the log is empty."""
+    top = _folder(spark)
+    log, table = ChangeLog(spark, f"{top}/log"), KVTable(spark, f"{top}/table")
+    events = events_kv(spark, sf_dir).withColumn("seq", F.col("lsn"))
+    for half in (F.col("lsn") <= LAYERS[0], F.col("lsn") > LAYERS[0]):
+        log.append(events.where(half))
+        log.flush_to(table, threshold=1)
+    rows = resolve.layered_raw([table.read(), log.read()])
+    return rows.select(F.col("key").cast("string").alias("key"), F.col("op").cast("int").alias("op"), F.col("value").cast("string").alias("value"))
+
+
+@query(
+    "SELECT count(*) AS violations FROM (SELECT key, lag(key) OVER (ORDER BY o_orderkey) AS before FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 1000 = 7 THEN 'order:00000001' WHEN o_orderkey % 1000 = 9 THEN printf('order:%08d', o_orderkey - 1) ELSE printf('order:%08d', o_orderkey) END AS key FROM orders)) WHERE key <= before",
+    base="",
+)
 def sorted_invariant(spark, sf_dir):
-    """Orders are written in key order; no key may fail to rise."""
-    return stats.sorted_violations(orders_kv(spark, sf_dir))
+    """Orders in key order, of which some have the least key and some repeat the one before: keys that fail to rise."""
+    at = F.col("lsn") % 1000
+    planted = F.when(at == 7, F.lit("order:00000001")).when(at == 9, F.format_string("order:%08d", F.col("lsn") - 1)).otherwise(F.col("key"))
+    return stats.sorted_violations(orders_kv(spark, sf_dir).withColumn("key", planted))
 
 
 @query(
-    """, k AS (SELECT DISTINCT key FROM kv), p AS (SELECT key, lag(key) OVER (PARTITION BY substr(key, 1, 8) ORDER BY key) AS prev FROM k),
+    """, k AS (SELECT DISTINCT key FROM kv), p AS (SELECT key, lag(key) OVER (ORDER BY key) AS prev FROM k),
  s AS (SELECT key, CASE WHEN prev IS NULL THEN 0 ELSE coalesce(list_min(list_filter(range(1, length(key) + 1), lambda i: key[i] <> prev[i])) - 1, length(key)) END AS shared FROM p)
  SELECT CAST(sum(shared) AS BIGINT) AS shared_bytes, CAST(sum(length(key) - shared) AS BIGINT) AS suffix_bytes FROM s"""
 )
@@ -287,9 +323,73 @@ def segment_range_scan(spark, sf_dir):
     return kv.read(START, END).where(F.col("op") == PUT).select("key", "value")
 
 
+@query("SELECT p.key, CASE l.op WHEN 1 THEN 'FOUND' WHEN 2 THEN 'DELETED' ELSE 'ABSENT' END AS state, CASE WHEN l.op = 1 THEN l.value END AS value FROM probes p LEFT JOIN latest l USING (key)")
+def segment_get(spark, sf_dir):
+    """Point lookups in a flushed table."""
+    kv = KVTable(spark, _folder(spark))
+    kv.flush(events_kv(spark, sf_dir), 4)
+    found = functools.reduce(DataFrame.unionByName, [kv.get(p) for p in PROBES])
+    return found.select("key", "state", F.col("value").cast("string").alias("value"))
+
+
+@query("SELECT key, op, value FROM latest WHERE key >= 'user:00033' ORDER BY key LIMIT 1")
+def segment_seek(spark, sf_dir):
+    """The first key from a target on, over two segments."""
+    kv = KVTable(spark, _folder(spark))
+    for layer in _layers(events_kv(spark, sf_dir))[:2]:
+        kv.flush(layer, 4)
+    kv.flush(events_kv(spark, sf_dir).where(F.col("lsn") > LAYERS[1]), 4)
+    return kv.seek(TARGET).select("key", "op", "value")
+
+
+@query("SELECT key, value FROM latest WHERE op = 1")
+def commit_after_crash(spark, sf_dir):
+    """Commits go on where a crash has left a manifest without its mark and files that no manifest names."""
+    top = _folder(spark)
+    kv = KVTable(spark, top)
+    first, second, third = _layers(events_kv(spark, sf_dir))
+    kv.flush(first)
+    first.limit(5).write.parquet(f"{top}/segments/left-behind")
+    kv.manifest().write.parquet(f"{top}/manifest/2")
+    place, fs = kv._fs(f"{top}/manifest/2/_SUCCESS")
+    fs.delete(place, False)
+    kv.flush(second)
+    kv.flush(third)
+    kv.vacuum()
+    return resolve.live(kv.read()).select("key", "value")
+
+
+@query("SELECT key, op, value FROM latest")
+def wal_recover(spark, sf_dir):
+    """Write-ahead logs with garbage at their ends, read up to it; closed batches replayed in the order of their files."""
+    files = encode_files(events_kv(spark, sf_dir), kind="kvwal")
+    torn = files.select("path", F.concat("content", F.encode(F.lit("incomplete record garbage"), "UTF-8")).alias("content"))
+    records = closed(decode_files(torn, "kvwal"))
+    newest = resolve.latest_per_key(with_lsn(records))
+    return newest.select(F.col("key").cast("string").alias("key"), F.col("op").cast("int").alias("op"), F.col("value").cast("string").alias("value"))
+
+
+@query("SELECT key, op, value, key = 'user:00042' AS asked FROM latest")
+def foreign_segment(spark, sf_dir):
+    """Segment files with filter, index and blocks, decoded whole; one key is also looked up in them."""
+    newest = resolve.latest_per_key(events_kv(spark, sf_dir))
+    files = encode_segments(newest.withColumn("group", F.substring("key", 1, 8)), "group")
+    rows = decode_files(files, "kvsst").select("key", F.col("op").cast("int").alias("op"), "value")
+    hit = get_in_segments(files, b"user:00042").select(F.lit(b"user:00042").alias("key"), F.lit(True).alias("asked"))
+    joined = rows.join(hit, "key", "left")
+    return joined.select(F.col("key").cast("string").alias("key"), "op", F.col("value").cast("string").alias("value"), F.coalesce("asked", F.lit(False)).alias("asked"))
+
+
+_SIZES = "m AS (SELECT CAST(ceil(-n * ln(0.01) / (ln(2) * ln(2))) AS BIGINT) AS bits, CAST(ceil(ceil(-n * ln(0.01) / (ln(2) * ln(2))) / n * ln(2)) AS BIGINT) AS hashes FROM (SELECT CAST(greatest(count(*), 1) AS DOUBLE) AS n FROM keys))"
+_PLACES = "SELECT key, (CAST('0x' || substr(md5(key), 1, 15) AS BIGINT) % bits + i * (CAST('0x' || substr(md5(key), 17, 15) AS BIGINT) % bits)) % bits AS place FROM {}, m, (SELECT unnest(range(20)) AS i) WHERE i < hashes"
+
+
 @query("SELECT key FROM probes WHERE key IN (SELECT key FROM kv WHERE op = 1)")
 def bloom_semi_join(spark, sf_dir):
-    return scan.bloom_semi_join(events_kv(spark, sf_dir), _probes(spark))
+    """Probes pass a filter of the keys that were ever put, then the join."""
+    puts = events_kv(spark, sf_dir).where(F.col("op") == PUT)
+    many = puts.select("key").distinct().count()
+    return bloom.pruned(puts, _probes(spark), bloom.build(puts, many), many)
 
 
 @query('SELECT key, lsn, size FROM sized')
@@ -312,7 +412,17 @@ def stream_latest(spark, sf_dir):
     return ingest.current(spark, f"{target}/state").select("key", "op", "lsn")
 
 
-@query(None)
+_BYTES = "list_transform(string_split({}, ''), lambda c: CAST(ascii(c) AS BIGINT))"
+_LE32 = "[{0} & 255, ({0} >> 8) & 255, ({0} >> 16) & 255, {0} >> 24]"
+
+
+@query(
+    f""", step AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t),
+ raw AS (SELECT key, lsn, op, size, list_concat({_LE32.format("CAST(strlen(key) AS BIGINT)")}, {_LE32.format("CAST(CASE WHEN op = 2 THEN 11 ELSE strlen(value) END AS BIGINT)")}, {_BYTES.format("key")},
+ CASE WHEN op = 2 THEN list_concat([CAST(0 AS BIGINT)], {_BYTES.format("'TOMBSTONE'")}, [CAST(0 AS BIGINT)]) WHEN value = '' THEN CAST([] AS BIGINT[]) ELSE {_BYTES.format("value")} END) AS b FROM sized),
+ sums AS (SELECT key, lsn, op, size, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS crc FROM raw, step)
+ SELECT key, lsn, op, crc, crc AS decoded_crc, size, true AS valid FROM sums"""
+)
 def crc_roundtrip(spark, sf_dir):
     """Frames of all records by expressions, read again: their checksums, sizes, and whether checksum and record come back."""
     framed = events_kv(spark, sf_dir).withColumn("_frame", log_frame(F.col("op"), F.col("key"), F.col("value")))
@@ -322,15 +432,23 @@ def crc_roundtrip(spark, sf_dir):
     return read.select("key", "lsn", "op", F.col("_read.crc").alias("crc"), F.col("_read.computed").alias("decoded_crc"), F.octet_length("_frame").cast("long").alias("size"), F.coalesce(same, F.lit(False)).alias("valid"))
 
 
-@query(None)
+@query(
+    f""", keys AS (SELECT key FROM latest WHERE op = 1), absent AS (SELECT 'absent:' || CAST(range AS VARCHAR) AS key FROM range(100000)), {_SIZES},
+ filled AS (SELECT DISTINCT place FROM ({_PLACES.format("keys")})),
+ missed AS (SELECT key, bool_and(f.place IS NOT NULL) AS maybe FROM ({_PLACES.format("absent")}) p LEFT JOIN filled f ON f.place = p.place GROUP BY 1)
+ SELECT bits, hashes, 16 + 8 * ((bits + 63) // 64) AS bytes, (SELECT count(*) FROM filled) AS filled, CAST(0 AS BIGINT) AS false_negatives, (SELECT count(*) FROM missed WHERE maybe) AS false_positives, (SELECT count(*) FROM missed WHERE maybe) <= 2000 AS within_two_percent FROM m"""
+)
 def bloom_fpr(spark, sf_dir):
-    """Sizes of a Bloom filter for the live keys and its share of set bits, hence its false-positive rate."""
+    """A filter of the live keys, built and probed with all of them and with 100,000 keys that aren't there."""
     keys = resolve.live(events_kv(spark, sf_dir)).select("key")
-    size = stats.bloom_sizing(keys.count(), 0.01)
-    first, second = F.xxhash64("key"), F.xxhash64("key", F.lit(1))
-    hits = F.array(*[F.pmod(F.shiftrightunsigned(first, 8) + F.lit(i) * F.shiftrightunsigned(second, 8), F.lit(size["bits"])) for i in range(size["hashes"])])
-    filled = keys.select(F.explode(hits).alias("bit")).agg((F.countDistinct("bit") / size["bits"]).alias("filled"))
-    return filled.select(F.lit(size["bits"]).alias("bits"), F.lit(size["hashes"]).alias("hashes"), F.lit(size["bytes"]).alias("bytes"), "filled", F.pow("filled", F.lit(size["hashes"])).alias("false_positive_rate"))
+    expected = keys.count()
+    size, words = stats.bloom_sizing(expected, 0.01), bloom.build(keys, expected)
+    absent = spark.range(100_000).select(F.concat(F.lit("absent:"), F.col("id").cast("string")).alias("key"))
+    asked = bloom.may_contain(keys.select("key").unionByName(absent), words, expected).withColumn("_absent", F.col("key").startswith("absent:"))
+    counts = asked.agg(F.count(F.when(~F.col("_absent") & ~F.col("maybe"), 1)).alias("false_negatives"), F.count(F.when(F.col("_absent") & F.col("maybe"), 1)).alias("false_positives"))
+    filled = words.agg(F.coalesce(F.sum(F.bit_count("bits")), F.lit(0))).first()[0]
+    within = (F.col("false_positives") <= 2000).alias("within_two_percent")
+    return counts.select(*[F.lit(n).cast("long").alias(name) for name, n in (size | {"filled": filled}).items()], "false_negatives", "false_positives", within)
 
 
 _DECODED = """SELECT op, count(*) AS records, CAST(sum(size) AS BIGINT) AS bytes FROM sized GROUP BY 1"""

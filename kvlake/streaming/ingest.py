@@ -2,17 +2,25 @@
 
 Durability is the micro-batch: a batch is written under its number, so a batch that runs again after a crash replaces
 itself.  Records carry their LSN, hence late or repeated ones resolve alike and no watermark is needed.
+
+The limit of a batch is the source's: ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` on ``readStream`` (see ``source``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kvlake.operators.resolve import latest_per_key
 
 
+def source(spark: SparkSession, path: str, schema, files: int | None = None) -> DataFrame:
+    """A stream of the change-log files under ``path``, at most ``files`` of them in a batch."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
+
+
 def ingest(log: DataFrame, target: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
     """Append a streaming change log to ``target``/batch=<n>; without an interval, what is there now."""
 

@@ -8,7 +8,8 @@ from kvlake.functions.expressions import le32, log_crc, shared_prefix
 from kvlake.operators import resolve, scan, stats
 from kvlake.schema import CHANGELOG, DELETE, PUT
 from kvlake.sources.files import read_files, register, with_lsn
-from kvlake.sources.segments import KVTable
+from kvlake.sources.logs import ChangeLog, IndexedLog
+from kvlake.sources.segments import Changed, KVTable
 from kvlake.streaming import ingest
 
 
@@ -121,6 +122,130 @@ def test_segments(spark, model, tmp_path):
     assert table.read().agg(F.min("lsn")).first()[0] >= 2900
 
 
+def test_lookups_in_segments(spark, tmp_path):
+    table = KVTable(spark, str(tmp_path / "t"))
+    assert table.get(b"x").first()["state"] == "ABSENT" and table.seek(b"x").count() == 0
+    table.flush(log_of(spark, [(f"key-{i:06d}".encode(), f"val-{i}".encode()) for i in range(1000)]), 5)
+    newer = spark.createDataFrame([(2000, DELETE, b"key-000500", None), (2001, PUT, b"key-000501", b"new")], CHANGELOG)
+    table.flush(newer)
+    assert [(r["state"], r["value"] and bytes(r["value"])) for k in (b"key-000499", b"key-000500", b"key-000501", b"zzz") for r in table.get(k).collect()] == [("FOUND", b"val-499"), ("DELETED", None), ("FOUND", b"new"), ("ABSENT", None)]
+    assert [bytes(r["key"]) for r in table.seek(b"key-000500x").collect()] == [b"key-000501"]
+    assert table.seek(b"key-000500").first()["op"] == DELETE and table.seek(b"zzz").count() == 0
+    assert table.read(b"key-000200", b"key-000300").count() == 100
+
+
+def test_files_beyond_the_list(spark, model, tmp_path, monkeypatch):
+    from kvlake.sources import segments
+
+    log, _, truth = model
+    table = KVTable(spark, str(tmp_path / "t"))
+    for low, high in ((0, 1500), (1500, 3000)):
+        table.flush(log.where((F.col("lsn") > low) & (F.col("lsn") <= high)), 3)
+    table.truncate_before(1000)
+    want = sorted(tuple(r) for r in table.read().collect())
+    monkeypatch.setattr(segments, "LISTED", 1)
+    assert sorted(tuple(r) for r in table.read().select("key", "lsn", "op", "value").collect()) == sorted(tuple(r) for r in spark.createDataFrame(want, table.read().schema).select("key", "lsn", "op", "value").collect())
+    table.compact(2)
+    monkeypatch.setattr(segments, "LISTED", 10)
+    assert table.read().agg(F.min("lsn")).first()[0] >= 1000
+
+
+def test_crashes_of_writers(spark, tmp_path):
+    top = tmp_path / "t"
+    table = KVTable(spark, str(top))
+    one = log_of(spark, [(b"a", b"1"), (b"b", b"2")])
+    assert table.flush(one) == 1
+    # A crash after the files and before the mark, and one before the manifest was moved to its place.
+    for left in ("manifest/2", "manifest/_pending-x", "segments/left"):
+        (top / left).mkdir(parents=True)
+        (top / left / "part-0.parquet").write_bytes(b"cut")
+    assert table.versions() == [1] and state(table.read()) == {b"a": b"1", b"b": b"2"}
+    assert table.flush(spark.createDataFrame([(9, PUT, b"c", b"3")], CHANGELOG)) == 3
+    assert state(resolve.live(table.read())) == {b"a": b"1", b"b": b"2", b"c": b"3"}
+    assert table.vacuum() >= 4 and table.versions() == [3] and not (top / "segments" / "left").exists()
+    assert state(resolve.live(table.read())) == {b"a": b"1", b"b": b"2", b"c": b"3"}
+    with pytest.raises(Changed):
+        table._commit(table.manifest(), 1)
+    for bad in ([(b"b", b""), (b"a", b"")], [(b"a", b""), (b"a", b"")]):
+        with pytest.raises(ValueError):
+            table.append_sorted(log_of(spark, bad))
+    assert table.versions() == [3]
+    table.append_sorted(log_of(spark, [(b"x", b""), (b"y", b"")]))
+    assert table.get(b"y").first()["state"] == "FOUND"
+
+
+def test_change_log(spark, tmp_path):
+    log = ChangeLog(spark, str(tmp_path / "wal"))
+    assert log.append(log_of(spark, []).withColumn("seq", F.col("lsn"))) is None and log.read().count() == 0
+    assert [log.put(f"key-{i}".encode(), f"v{i}".encode()) for i in range(3)] == [1, 2, 3]
+    more = spark.createDataFrame([(i, PUT, f"key-{i}".encode(), b"") for i in range(3, 10)], "seq long, op int, key binary, value binary")
+    assert log.append(more, limit=3) == (4, 10) and [b - a for a, b in log.batches.spans()] == [0, 0, 0, 2, 2, 0]
+    assert log.delete(b"nothing") == 11
+    assert [r["lsn"] for r in log.read(9).orderBy("lsn").collect()] == [10, 11]
+    log.truncate_before(6)
+    assert [(r["lsn"], r["op"]) for r in log.read().orderBy("lsn").collect()] == [(i, PUT) for i in range(6, 11)] + [(11, DELETE)]
+    (tmp_path / "wal" / "_pending-1").mkdir()
+    log.truncate_before(9)
+    log.truncate_before(9)
+    assert [r["lsn"] for r in log.read().orderBy("lsn").collect()] == [9, 10, 11] and not (tmp_path / "wal" / "_pending-1").exists()
+    table = KVTable(spark, str(tmp_path / "table"))
+    assert log.flush_to(table, 10**6) is None and log.flush_to(table) == 1 and log.read().count() == 0
+    assert log.put(b"later", b"") == 12
+    assert table.get(b"nothing").first()["state"] == "DELETED" and table.get(b"key-9").first()["state"] == "FOUND"
+
+
+def test_indexed_log(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    store = IndexedLog(spark, str(tmp_path / "db"))
+    assert store.get("name").first()["state"] == "ABSENT"
+    size = store.append(log_of(spark, [(b"name", b"alice"), (b"name", b"bob"), (b"gone", b"1")]))
+    assert size == 21 + 19 + 17
+    store.append(spark.createDataFrame([(4, DELETE, b"gone", None), (5, PUT, b"new", b"x" * 50)], CHANGELOG))
+    read = lambda k: tuple(store.get(k).select("state", F.col("value").cast("string")).first())
+    assert read("name") == ("FOUND", "bob") and read("gone") == ("DELETED", None) and read("other") == ("ABSENT", None)
+    # Bytes that change on disk are found by the checksum; other keys stay readable.
+    for file in (tmp_path / "db" / "log").rglob("part-*.parquet"):
+        rows = pq.read_table(file).to_pylist()
+        for r in rows:
+            if b"bob" in r["frame"]:
+                r["frame"] = r["frame"].replace(b"bob", b"bXb")
+                file.with_name(f".{file.name}.crc").unlink(missing_ok=True)
+                pq.write_table(pa.Table.from_pylist(rows, pq.read_schema(file)), file)
+    assert read("name") == ("CORRUPTED", None) and read("new") == ("FOUND", "x" * 50)
+    # A crash between log and index: the records are there and can be indexed later.
+    index = store.index
+    store.index = KVTable(spark, str(tmp_path / "lost"))
+    store.append(spark.createDataFrame([(6, PUT, b"late", b"1")], CHANGELOG))
+    store.index = index
+    assert read("late") == ("ABSENT", None)
+    store.recover()
+    assert read("late") == ("FOUND", "1") and read("new") == ("FOUND", "x" * 50)
+
+
+def test_bloom(spark):
+    from kvlake.operators import bloom
+
+    keys = spark.range(3000).select(F.concat(F.lit("key-"), F.col("id")).alias("key"))
+    words = bloom.build(keys, 3000)
+    absent = spark.range(3000, 13000).select(F.concat(F.lit("key-"), F.col("id")).alias("key"))
+    assert bloom.may_contain(keys, words, 3000).where("not maybe").count() == 0
+    assert bloom.may_contain(absent, words, 3000).where("maybe").count() <= 200
+    assert bloom.pruned(keys, keys.limit(10).unionByName(absent), words, 3000).count() == 10
+    assert bloom.build(keys.limit(0), 0).count() == 0 and bloom.may_contain(keys.limit(5), words.limit(0), 3000).where("maybe").count() == 0
+
+
+def test_wal_batches(spark):
+    from kvlake.sources.files import closed, decode_files, encode_files
+
+    files = encode_files(log_of(spark, [(b"a", b"1"), (b"b", b"2"), (b"a", None), (b"c", b"")]), records=100, kind="kvwal").collect()
+    data = bytes(files[0]["content"]) + encode_wal(PUT, b"open", b"batch") + b"incomplete record garbage"
+    records = decode_files(spark.createDataFrame([("w", data)], "path string, content binary"), "kvwal")
+    assert [bytes(r["key"]) for r in records.where("key is not null").orderBy("seq").collect()] == [b"a", b"b", b"a", b"c", b"open"]
+    assert state(resolve.live(with_lsn(closed(records)))) == {b"b": b"2", b"c": b""}
+
+
 def test_foreign_files(spark, tmp_path):
     for i, rows in enumerate(([(b"a", b"1"), (b"b", b"2")], [(b"a", b"3"), (b"b", None)])):
         (tmp_path / f"{i}.log").write_bytes(b"".join(encode_log(*r) for r in rows) + b"\xde\xad")
