@@ -1,22 +1,23 @@
-"""Document fingerprints by winnowing, in DataFrame and SQL functions only.
-
-A text is cut at white space into words (words of more than 32 characters further into runs of eight, so text without
-spaces has grams as well).  Every run of ``k`` words has a 64-bit gear hash
-(a rolling hash of the words' own hashes); of every ``window`` adjacent grams the lowest
-hash is kept, the rightmost on ties, with its position.  Any passage of ``k + window - 1`` equal words is therefore
-found in both fingerprints.  A text with fewer words is one gram; one with fewer grams is one window; a text without
-words (null, empty, blank) has an empty fingerprint, which is like another empty one (1.0) and unlike any other (0.0).
-
-Words find nothing in half of a short text, nor a passage without spaces that stands elsewhere in its word.  Pairs with
-such a text are also compared by grams of ``FINE_K`` characters in windows of ``FINE_WINDOW`` (white space counts as one
-space): any eight equal characters in a row are found in both.
-
-Long texts go through blocks of windows, so intermediate arrays stay small, and window minima come from doubling: the
-minimum of 2n grams is the lesser of two minima of n.  Hash and position share one long: the upper 54 bits are the
-hash, the lower ten the position counted from the end of the block, so the least value is the rightmost of equal hashes.
-
-The next document in the order of ids comes from a window inside id ranges of even size; the first row of each range
-also goes to the range before it, so nothing is ever sorted in one task.
+"""Document fingerprints by winnowing over character k-grams, in DataFrame and SQL functions only.
+
+Every run of ``k`` code points has a 64-bit hash.  Of every ``window`` adjacent grams the lowest hash is kept, the
+rightmost on ties, with its position.  So any passage of ``k + window - 1`` equal code points (GUARANTEE), wherever it
+stands and in whatever script, leaves the same hash in both fingerprints.  A text with fewer than ``k`` code points is one
+gram; one with fewer than ``window`` grams is one window; an empty or null text has an empty fingerprint, which is like
+another empty one (1.0) and unlike any other (0.0).  Nothing is normalised.
+
+A text becomes four bytes a code point, so a gram is a slice of bytes at a known place.  Texts go through blocks of
+windows, so that intermediate arrays stay small however long a text is; window minima come from the least of a few values
+at fixed steps.  Hash and position share one long: the upper 54 bits are the hash, the lower ten the position counted from
+the end of the block, so the least value is the rightmost of equal hashes.
+
+An edited text is made of the beginnings of two texts whose fingerprints are known.  What their windows have kept, as far
+as they lie inside, is taken from there; only windows across the seam and at the end are looked at again.
+
+The next document in the order of ids comes from a window inside id ranges; their number follows that of the rows, and the
+first row of each range also goes to the range before it, so nothing is ever sorted in one task.  Rows that repeat an id
+follow each other by text; a null id comes first.  An empty table gives an empty result.  Only id and text are read,
+whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -24,15 +25,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words a gram and grams a window.
-K, WINDOW = 4, 16
-#: Characters a gram and grams a window, where words are too few or too long.
-FINE_K, FINE_WINDOW = 5, 4
-#: Bits by which a newer word moves the hash of older ones.
-SHIFT = 5
+#: Code points a gram and grams a window; the window is 16 or another square of a power of two.
+K, WINDOW = 8, 16
+GUARANTEE = K + WINDOW - 1
 #: Windows of a block, and the bits of a position in it.
-BLOCK, BITS = 240, 10
+BLOCK, BITS = 960, 10
 LOW = (1 << BITS) - 1
+#: Rows of an id range; ranges that are cut by quantiles, and in all.
+RANGE, QUANTILES, RANGES = 512, 4096, 1 << 20
+
+NONE = "array<struct<h:bigint,p:int>>"
 
 
 def _let(value: Column, body) -> Column:
@@ -40,79 +42,68 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def words_of(text: Column) -> Column:
-    """Words of a text; long ones in runs of eight characters."""
-
-    def cut(words: Column) -> Column:
-        return F.flatten(F.transform(words, lambda w: F.when(F.length(w) <= 32, F.array(w)).otherwise(F.regexp_extract_all(w, F.lit("(?s).{1,8}"), F.lit(0)))))
-
-    words = F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\s]+"), "")
-    return _let(words, lambda words: F.when(F.exists(words, lambda w: F.length(w) > 32), cut(words)).otherwise(words))
-
-
-def characters_of(text: Column) -> Column:
-    """Characters of a text; white space becomes one space and is left out at both ends."""
-    return F.array_remove(F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), ""), "")
-
-
-def fingerprint(text: Column, k: int = K, window: int = WINDOW, cut=words_of) -> Column:
-    """array<struct<h: bigint, p: int>>: the kept grams of what ``cut`` makes of a text, by position.  ``window`` must be a power of two."""
-    assert window & (window - 1) == 0 and window >= 1, "the window is a power of two"
-
-    def folded(step: int, both, alone):
-        """From values of spans to values of spans longer by ``step``; where there are no such spans, one of all."""
-
-        def fold(values: Column) -> Column:
-            rest = F.size(values) - step
-            return F.when(rest <= 0, F.array(alone(values))).otherwise(F.zip_with(F.slice(values, F.lit(1), rest), F.slice(values, F.lit(step + 1), rest), both))
-
-        return fold
-
-    def grams_of(words: Column) -> Column:
-        grams, span = F.transform(words, lambda w: F.xxhash64(w)), 1
-        while span < k:
-            step = min(span, k - span)
-            # A gear hash: older words move up, by SHIFT for each newer one.  Overlapping spans only mix more.
-            grams, span = _let(grams, folded(step, _gear(step), lambda _: F.xxhash64(words))), span + step
-        return grams
-
-    def block(grams: Column, start: Column) -> Column:
-        values = F.transform(F.slice(grams, start + 1, F.lit(BLOCK + window - 1)), lambda g, i: F.shiftleft(g, BITS).bitwiseOR((F.lit(LOW) - i).cast("long")))
-        step = 1
-        while step < window:
-            values = _let(values, folded(step, lambda a, b: F.least(a, b), F.array_min))
-            step *= 2
-        return F.transform(F.array_distinct(values), lambda v: F.struct(F.shiftrightunsigned(v, BITS).alias("h"), (start + F.lit(LOW) - v.bitwiseAND(F.lit(LOW))).cast("int").alias("p")))
-
-    def whole(grams: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.size(grams) - window, F.lit(0)), F.lit(BLOCK))
+def fingerprint(text: Column, k: int = K, window: int = WINDOW) -> Column:
+    """array<struct<h: bigint, p: int>>: the kept grams of a text, by position."""
+    step = int(window**0.5)
+    assert step * step == window, "the window is a square"
+
+    def least(values: Column, at: int) -> Column:
+        """Of every value the least of ``step`` values from it on, ``at`` apart; where fewer follow than that, of those."""
+        rest = F.greatest(F.size(values) - at * (step - 1), F.lit(1))
+        return F.transform(F.slice(values, F.lit(1), rest), lambda v, i: F.least(v, *[F.get(values, i + at * j) for j in range(1, step)]))
+
+    def block(units: Column, start: Column, grams: Column) -> Column:
+        here = F.least(grams - start, F.lit(BLOCK + window - 1))
+        width = F.when(grams == 1, F.octet_length(units)).otherwise(F.lit(4 * k))
+        places = F.sequence(F.lit(0), here - 1)
+        values = F.transform(places, lambda i: F.shiftleft(F.xxhash64(F.substring(units, (start + i) * 4 + 1, width)), BITS).bitwiseOR((F.lit(LOW) - i).cast("long")))
+        kept = lambda v: F.when(F.size(v) < window, F.array(F.array_min(v))).otherwise(F.array_distinct(_let(least(v, 1), lambda w: least(w, step))))
+        return F.transform(_let(values, kept), lambda v: F.struct(F.shiftrightunsigned(v, BITS).alias("h"), (start + F.lit(LOW) - v.bitwiseAND(F.lit(LOW))).cast("int").alias("p")))
+
+    def whole(units: Column) -> Column:
+        n = F.floor(F.octet_length(units) / 4).cast("int")
+        grams = F.greatest(n - (k - 1), F.lit(1))
+        starts = F.sequence(F.lit(0), F.greatest(grams - window, F.lit(0)), F.lit(BLOCK))
+        blocks = lambda g: F.flatten(F.transform(starts, lambda s: block(units, s, g)))
         # The last gram kept by a block can be the first of the next one.
-        return _let(F.flatten(F.transform(starts, lambda s: block(grams, s))), lambda kept: F.filter(kept, lambda g, i: (i == 0) | (g["p"] != F.get(kept, i - 1)["p"])))
+        return _let(_let(grams, blocks), lambda kept: F.filter(kept, lambda g, i: (i == 0) | (g["p"] != F.get(kept, i - 1)["p"])))
 
-    none = F.array().cast("array<struct<h:bigint,p:int>>")
-    return _let(cut(text), lambda w: F.when(F.size(w) == 0, none).otherwise(_let(grams_of(w), whole)))
+    none = F.array().cast(NONE)
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, none).otherwise(_let(F.encode(text, "UTF-32"), whole))
 
 
-def _gear(words: int):
-    return lambda older, newer: F.shiftleft(older, SHIFT * words).bitwiseXOR(newer)
+def joined(first: Column, n_first: Column, own: Column, n_second: Column, other: Column, whole: Column, k: int = K, window: int = WINDOW) -> Column:
+    """The fingerprint of ``whole``: the first ``n_first`` code points of one text, then the first ``n_second`` of another.
+
+    ``own`` and ``other`` are the fingerprints of both texts, ``first`` says whether the first text itself is that long.
+    """
+    n = n_first + n_second
+    grams = n_first - (k - 1)  # grams inside the first part; likewise of the second
+    grams_2 = n_second - (k - 1)
+    # A kept gram belongs to a window that starts there or before; such windows lie inside a part up to its last one.
+    head = F.filter(own, lambda g: g["p"] <= grams - window)
+    tail = F.transform(F.filter(other, lambda g: g["p"] <= grams_2 - window), lambda g: F.struct(g["h"].alias("h"), (g["p"] + n_first).cast("int").alias("p")))
+
+    def again(start: Column, size: Column) -> Column:
+        """What windows inside a slice of the whole keep."""
+        return F.transform(fingerprint(F.substring(whole, start + 1, size), k, window), lambda g: F.struct(g["h"].alias("h"), (g["p"] + start).cast("int").alias("p")))
+
+    seam_at = F.greatest(grams - 2 * window + 2, F.lit(0))
+    end_at = n_first + F.greatest(grams_2 - 2 * window + 2, F.lit(0))
+    seam = again(seam_at, n_first + window + k - 2 - seam_at)
+    end = F.when(grams_2 >= window, again(end_at, n - end_at)).otherwise(F.array().cast(NONE))
+    parts = F.array_sort(F.concat(head, seam, tail, end), lambda a, b: a["p"] - b["p"])
+    once = _let(parts, lambda kept: F.filter(kept, lambda g, i: (i == 0) | (g["p"] != F.get(kept, i - 1)["p"])))
+    # Short texts have windows of their own kind.
+    return F.when(n < 4 * (window + k), fingerprint(whole, k, window)).when(n_second == 0, F.when(first, own).otherwise(fingerprint(whole, k, window))).otherwise(once)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard similarity of the hashes of two fingerprints."""
     x, y = F.array_distinct(a["h"]), F.array_distinct(b["h"])
-    either = F.size(F.array_union(x, y))
-    return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / either)
-
-
-def few_or_long_words(text: Column, words: int) -> Column:
-    """Whether a text has fewer than ``words`` words, or one that words_of cuts."""
-    text = F.coalesce(text, F.lit(""))
-    return (F.regexp_count(text, F.lit(r"\S+")) < words) | text.rlike(r"\S{33}")
-
-
-def fine_likeness(a: Column, b: Column, fine: Column, coarse: Column) -> Column:
-    """Likeness of two texts by characters where ``fine`` holds, else ``coarse``."""
-    return F.when(fine, likeness(*(fingerprint(t, FINE_K, FINE_WINDOW, characters_of) for t in (a, b)))).otherwise(coarse)
+    both = F.size(F.array_intersect(x, y))
+    either = F.size(x) + F.size(y) - both
+    return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
 
 
 def as_text(a: Column) -> Column:
@@ -121,39 +112,45 @@ def as_text(a: Column) -> Column:
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col and ``prints``: what winnowing keeps of every text; positions count words."""
+    """id_col and ``prints``: what winnowing keeps of every text; positions count code points."""
     return docs.select(id_col, fingerprint(F.col(text_col)).alias("prints"))
 
 
-def in_ranges(docs: DataFrame, id_col: str, rows: int = 512, most: int = 4096) -> DataFrame:
+def in_ranges(docs: DataFrame, id_col: str, rows: int = RANGE, quantiles: int = QUANTILES, most: int = RANGES) -> DataFrame:
     """docs with ``_range``, ``_edge`` and ``_key``, so that the row after any other is in its range.
 
-    Ids are cut into ranges of about ``rows`` rows, at most ``most``; only the bounds reach the driver.  The first row
-    of a range is also sent, as ``_edge``, to the range before it, that of the very first to the last.
+    Ids are cut into ranges of about ``rows`` rows: by at most ``quantiles`` quantiles, which reach the driver, and beyond
+    that in even parts of the ids between two quantiles.  The first row of a range is also sent, as ``_edge``, to the
+    range before it, that of the very first to the last.  The table of ranges has ``most`` rows at most and is broadcast;
+    with so many, a range of 100 TB holds some 100 MB.
     """
     keyed = docs.withColumn("_key", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))))
-    count, parts = keyed.count(), 1
-    cuts: list[int] = []
-    if (parts := max(1, min(most, count // rows))) > 1:
-        cuts = sorted(set(keyed.agg(F.percentile_approx("_key", [i / parts for i in range(1, parts)], 10 * most)).first()[0]))
-    # Two steps of at most 64 comparisons each find the range.
-    steps = [cuts[i : i + 64] for i in range(0, len(cuts), 64)]
+    parts = max(1, min(most, keyed.count() // rows))
+    cut = min(parts, quantiles)
+    cuts = sorted(set(keyed.agg(F.percentile_approx("_key", [i / cut for i in range(1, cut)], 10 * quantiles)).first()[0])) if cut > 1 else []
+    # Two steps of at most 64 comparisons each find the quantile.
     below = lambda bounds: F.size(F.filter(bounds, lambda b: b <= F.col("_key")))
     longs = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<bigint>")
     if cuts:
-        step = below(longs([s[0] for s in steps]))
-        keyed = keyed.withColumn("_step", step)
+        steps = [cuts[i : i + 64] for i in range(0, len(cuts), 64)]
+        keyed = keyed.withColumn("_step", below(longs([s[0] for s in steps])))
         keyed = keyed.withColumn("_range", F.when(F.col("_step") == 0, F.lit(0)).otherwise((F.col("_step") - 1) * 64 + below(F.array(*[longs(s) for s in steps])[F.col("_step") - 1]))).drop("_step")
     else:
         keyed = keyed.withColumn("_range", F.lit(0))
-    firsts = dict(keyed.groupBy("_range").agg(F.min("_key")).collect())
-    there = sorted(firsts) or [0]
-    first = longs([firsts.get(r) for r in range(there[-1] + 1)])[F.col("_range")]
-    previous = {r: there[i - 1] for i, r in enumerate(there)}
-    back = F.array(*[F.lit(previous.get(r)) for r in range(there[-1] + 1)]).cast("array<int>")[F.col("_range")]
-    home, edge = (F.struct(r.alias("r"), F.lit(e).alias("edge")) for r, e in ((F.col("_range"), False), (back, True)))
-    spread = keyed.withColumn("_at", F.explode(F.when(F.col("_key") == first, F.array(home, edge)).otherwise(F.array(home))))
-    return spread.withColumns({"_range": F.col("_at.r"), "_edge": F.col("_at.edge")}).drop("_at")
+    if (even := -(-parts // cut)) > 1:
+        bounds = [cuts[0], *cuts, cuts[-1]]
+        low, high = F.get(longs(bounds), F.col("_range")).cast("double"), F.get(longs(bounds), F.col("_range") + 1).cast("double")
+        share = F.coalesce(F.try_divide(F.col("_key") - low, high - low), F.lit(0.0))
+        keyed = keyed.withColumn("_range", F.col("_range") * even + F.least(F.greatest(F.floor(share * even), F.lit(0)), F.lit(even - 1)).cast("int"))
+    ranges = keyed.groupBy("_range").agg(F.min("_key").alias("_first"))
+    # One row a range; the last one comes before the first.
+    last = ranges.agg(F.max("_range")).first()[0]
+    before = F.coalesce(F.lag("_range").over(Window.orderBy("_range")), F.lit(last))
+    known = F.broadcast(ranges.select(F.col("_range").alias("_r"), "_first", before.alias("_back")))
+    home, edge = (F.struct(F.col(r).alias("r"), F.lit(e).alias("edge")) for r, e in (("_range", False), ("_back", True)))
+    met = keyed.join(known, F.col("_range") == F.col("_r"))
+    spread = met.withColumn("_at", F.explode(F.when(F.col("_key") == F.col("_first"), F.array(home, edge)).otherwise(F.array(home))))
+    return spread.withColumns({"_range": F.col("_at.r"), "_edge": F.col("_at.edge")}).drop("_at", "_r", "_first", "_back")
 
 
 def op7_fingerprints(spark, sf_dir: str) -> DataFrame:
@@ -164,19 +161,14 @@ def op7_fingerprints(spark, sf_dir: str) -> DataFrame:
     ranged = in_ranges(docs, "doc_id").repartition(F.col("_range")).withColumn("_prints", fingerprint(F.col("text")))
     order = Window.partitionBy("_range").orderBy("_edge", "_key", "text")
     after = ranged.withColumn("_next", F.lead(F.struct("text", "_prints")).over(order)).where(~F.col("_edge"))
-    n = F.col("n_chars")
-    half = F.floor(n / 2).cast("int")
-    edited = after.withColumn("n_chars", F.length("text").cast("long")).withColumn("_edited", F.concat(F.substring("text", F.lit(1), (n - half).cast("int")), F.substring(F.col("_next.text"), F.lit(1), half)))
-    # Half of a text with twice the words of the guarantee can still have fewer, if they are the longer ones.
-    span, kept, next_ = K + WINDOW - 1, F.substring("text", F.lit(1), (n - half).cast("int")), F.col("_next.text")
-    brief = few_or_long_words(F.col("text"), 2 * span)
-    edited = edited.withColumns({"_fine_edited": brief | few_or_long_words(kept, span + 1) | few_or_long_words(F.col("_edited"), 0), "_fine_next": brief | few_or_long_words(next_, 2 * span)})
-    printed = edited.select("doc_id", "n_chars", "text", "_edited", "_fine_edited", "_fine_next", next_.alias("_next_text"), "_prints", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("_edited")).alias("_edited_prints"), F.col("_next._prints").alias("_next_prints"))
-    near_edited, near_next = likeness(F.col("_prints"), F.col("_edited_prints")), likeness(F.col("_prints"), F.col("_next_prints"))
+    n = F.col("n_chars").cast("int")
+    half = F.floor(F.col("n_chars") / 2).cast("int")
+    kept, taken = n - half, F.least(half, F.length("_next.text"))
+    edited = after.withColumn("n_chars", F.length("text").cast("long")).withColumn("_edited", F.concat(F.substring("text", F.lit(1), kept), F.substring(F.col("_next.text"), F.lit(1), half)))
+    prints = joined(half == 0, kept, F.col("_prints"), taken, F.col("_next._prints"), F.col("_edited"))
+    printed = edited.select("doc_id", "n_chars", "_prints", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), prints.alias("_edited_prints"), F.col("_next._prints").alias("_next_prints"))
     return printed.select(
         "doc_id", "n_chars", "edited_sha256",
         as_text(F.col("_prints")).alias("fingerprint"), as_text(F.col("_edited_prints")).alias("edited_fingerprint"),
-        near_edited.alias("near_edited"), near_next.alias("near_next"),
-        fine_likeness(F.col("text"), F.col("_edited"), F.col("_fine_edited"), near_edited).alias("near_edited_fine"),
-        fine_likeness(F.col("text"), F.col("_next_text"), F.col("_fine_next"), near_next).alias("near_next_fine"),
+        likeness(F.col("_prints"), F.col("_edited_prints")).alias("near_edited"), likeness(F.col("_prints"), F.col("_next_prints")).alias("near_next"),
     )
