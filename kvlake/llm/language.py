@@ -8,12 +8,16 @@ becomes one.  All documents of a batch go through the recursion side by side.
 
 The prediction is the language of most letters by these labels, the score its share of them.  Null texts and those
 without a letter are ``und`` with score 0.  The sample for learning is bounded by SAMPLE documents (expected), drawn by
-a hash of the id from each language in even parts; languages with fewer documents are drawn whole.  Repeated rows are predicted each; an empty table gives an
-empty result; without training rows every text is ``und``.
+a hash of the id from each language in even parts; languages with fewer documents are drawn whole.  Whole texts are
+labelled, however long; a very long one makes a batch of its own.  Of languages with equally many letters the first in
+order counts.  Repeated rows are predicted each; an empty table gives an empty result; without training rows every text is
+``und``.  Only id, text and language are read, whatever other columns are called; ``keep_known`` returns all columns.
 """
 
 from __future__ import annotations
 
+import functools
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,11 +41,26 @@ SCRIPTS = [0x0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0x980, 0xA00, 0
 _LETTER = bytes(c if 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
+def _kept(point: str) -> bool:
+    """Whether the lower case of a code point has as many bytes."""
+    return len(point.lower().encode()) == len(point.encode())
+
+
+@functools.cache
+def _changing() -> re.Pattern:
+    """The code points that are longer or shorter in lower case, some thirty."""
+    return re.compile("[" + "".join(chr(c) for c in range(0x80, 0x20000) if not 0xD800 <= c < 0xE000 and not _kept(chr(c))) + "]")
+
+
 def lowered(text: str) -> bytes:
-    """Lower-cased UTF-8 of the same length, everything but letters of ASCII and higher bytes blank."""
-    raw = text.encode()
-    low = text.lower().encode() if not text.isascii() else raw
-    return (low if len(low) == len(raw) else raw).translate(_LETTER)
+    """Lower-cased UTF-8 of the same length, everything but letters of ASCII and higher bytes blank.
+
+    A code point whose lower case has another length stays as it is.
+    """
+    if not text.isascii():
+        changing = _changing()
+        text = "".join(part if i % 2 else part.lower() for i, part in enumerate(re.split(f"({changing.pattern})", text))) if changing.search(text) else text.lower()
+    return text.encode().translate(_LETTER)
 
 
 class Grams:
