@@ -5,7 +5,7 @@ no hash lookup in a 50,000-entry map literal, and joining the ids of corpus-wide
 every text would shuffle several times the input (see README).  Within a batch each distinct word is folded once; a
 bounded table keeps words between batches.
 
-Null texts count as empty and have no ids; the ids of an empty text hash as the empty string.  Repeated rows are
+Whole texts are encoded, however long; long words by a heap.  Null texts count as empty and have no ids; the ids of an empty text hash as the empty string.  Repeated rows are
 encoded each; an empty table gives an empty result; other columns are not read.
 """
 

@@ -3,39 +3,30 @@
 from __future__ import annotations
 
 import atexit
-import pathlib
 import shutil
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from kvlake.functions.runtime import ship as ship_package
 
 #: Bytes of an Arrow batch that goes to a Python worker.
 BATCH_BYTES = 4 << 20
+#: Rows of a group that are ordered together.
+CELL_ROWS = 1 << 18
 
 
 def ship(spark: SparkSession) -> None:
-    """Put this package on the Python path of the executors, once a session; they need no installation of it.
+    """Put this package on the Python path of the executors; they need no installation of it.
 
     Also bounds Arrow batches by bytes: texts differ in length by orders of magnitude, so rows say little about memory.
     """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    context = spark.sparkContext
-    if getattr(context, "_kvlake_shipped", False):
-        return
-    root = pathlib.Path(__file__).resolve().parents[2]
-    held = tempfile.mkdtemp(prefix="kvlake-code-")
-    atexit.register(shutil.rmtree, held, ignore_errors=True)
-    with zipfile.ZipFile(path := f"{held}/kvlake-code.zip", "w") as out:
-        for file in sorted(root.glob("kvlake/**/*.py")):
-            out.write(file, file.relative_to(root))
-    context.addPyFile(path)
-    context._kvlake_shipped = True
+    ship_package(spark)
 
 
 def release() -> None:
@@ -71,11 +62,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The session's ``spark.checkpoint.dir`` (or a directory set on the context) wins.  Only where neither exists, as in
-    local tests, a temporary folder is made and removed again at exit.
+    The session's ``spark.checkpoint.dir`` (or a directory set on the context) wins.  Only where neither exists and all runs
+    on one machine, as in tests, a temporary folder is made and removed again at exit.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="kvlake-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
@@ -85,6 +79,16 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
+def forget_at_exit() -> None:
+    """Delete what is left of all tables when the process ends."""
+    spark = SparkSession.getActiveSession()
+    if _WRITTEN and spark is not None:
+        try:
+            forget(spark)
+        except Exception:  # noqa: BLE001  the session may be gone by then
+            _WRITTEN.clear()
+
+
 def forget(spark: SparkSession) -> None:
     """Delete all tables that ``materialize`` wrote so far; results that read them must have been used."""
     while _WRITTEN:
@@ -108,10 +112,11 @@ def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
 def rank_in_groups(df: DataFrame, keys: list[str], order: list[Column], out: str, spread: Column, buckets: int) -> DataFrame:
     """Add ``out``: a gapless rank from 0 inside each ``keys`` group, without one task per group.
 
-    Each group is cut into ``buckets`` cells by ``spread`` (a long column that is the same for every evaluation).  Rows
-    are numbered inside their cell, cells get their base from a window over the cell counts (at most ``buckets`` rows
-    a group), so no task sees more than a cell of any group.
+    Each group is cut into cells by ``spread`` (a long column that is the same for every evaluation): ``buckets`` of them,
+    more if ``df`` has more than CELL_ROWS rows for each.  Rows are numbered inside their cell, cells get their base from a
+    window over the cell counts, so a task sees about CELL_ROWS rows of any group, even if it holds all.
     """
+    buckets = max(buckets, -(-df.count() // CELL_ROWS))
     cells = df.withColumn("_cell", F.pmod(spread, F.lit(buckets)).cast("int"))
     counts = cells.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)

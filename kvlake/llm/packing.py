@@ -11,7 +11,9 @@ histogram of piece lengths (at most ``capacity`` numbers) is all that reaches th
    number of lengths, not of pieces.
 
 Pieces then find their sequence by their distributed rank among the pieces of their length.  Null texts count as empty
-and take one token, the end mark.  Repeated rows are packed once each.  An empty table gives an empty result.
+and take one token, the end mark.  Whole texts are tokenized, however long.  Pieces of one length are ranked by id, then
+piece; ties, as of repeated rows, are packed once each in any order.  An empty table gives an empty result.  Only id and
+text are read, whatever other columns are called.
 """
 
 from __future__ import annotations

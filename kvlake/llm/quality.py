@@ -7,7 +7,10 @@ size is fixed).  A part of the training rows, chosen by the caller, calibrates:
 pool-adjacent-violators rule on the bins gives a rising map to probabilities, linear between its steps.
 
 Labels, languages, sources and ids are never inputs.  Null and empty texts have statistics of zero and get a score as
-any other.  Rows without a label don't train; repeated rows count each.  Without training rows every score is 0.5.
+any other.  Whole texts are read, however long; of a text only its statistics stay in memory.  Rows without a label (null,
+or neither 0 nor 1) don't train; repeated rows and repeated labels count each.  Equal raw scores get equal scores.
+Without training rows every score is 0.5; an empty table gives an empty result.  Only id and text are read, and of the
+labels only id and quality, whatever other columns are called; ``keep_good`` returns all columns of the documents.
 """
 
 from __future__ import annotations

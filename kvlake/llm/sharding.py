@@ -3,10 +3,12 @@
 The heap runs on the driver over *size classes*, not over groups.  A group is alone in its class when it is heavy (at
 least 1/64 of an even shard, so at most 64 x shards such groups exist); every other group belongs to the class of its
 size cut to nine significant bits, of which fewer than 256 x 64 exist.  The groups of a class differ by less than 0.4 %
-and are dealt in one go, which is what the heap would do one by one.  Which group of a class goes where follows from a
-distributed rank, so neither driver nor any task holds the groups.
+and are dealt in one go as if they had the mean of their class: for groups of equal size that is what the heap would do
+one by one, else every light group stands within 0.4 % of its own place.  Which group of a class goes where follows from
+a distributed rank, so neither driver nor any task holds the groups.
 
-Null and empty texts count as equal and have 16 bytes.  Repeated rows are separate documents of one group.  An empty
+Null and empty texts count as equal and have 16 bytes.  Whole texts are measured, however long.  Ties between groups go
+by a hash of the text, ties between shards to the lowest.  Repeated rows are separate documents of one group.  An empty
 table gives an empty result.  Other columns of the input, whatever their names, are not read.
 """
 

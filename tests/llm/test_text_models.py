@@ -196,6 +196,66 @@ def test_quality(spark, corpus, tables):
     assert kept == {i for i, r in rows.items() if r["score"] >= 0.3}
 
 
+def naive_statistics(text):
+    """The statistics of a text as they are described, one character, word and line after the other."""
+    raw = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    kinds = [b" \t", b"\r\n\x0b\x0c", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b".,", b"!?", b"#$%&*@^~=|<>{}[]\\_+/", bytes(range(0xC0, 256))]
+    kind = lambda c: 10 if 0x80 <= c < 0xC0 else next((i for i, k in enumerate(kinds) if c in k), 9)
+    count = [sum(kind(c) == i for c in raw) for i in range(10)]
+    chars, n = max(sum(count), 1), max(len(words), 1)
+    upper = lambda w: sum(65 <= c <= 90 for c in w)
+    lower = lambda w: sum(97 <= c <= 122 for c in w)
+    last = [kind(w[-1]) for w in words]
+    out = [np.log1p(chars), np.log1p(len(words)), *(c / chars for c in count), count[2] / max(count[2] + count[3] + count[8], 1)]
+    out += [x / n for x in (sum(upper(w) >= 2 and not lower(w) for w in words), last.count(7), last.count(6), last.count(5), sum(a == b for a, b in zip(words, words[1:])), sum(map(len, words)), sum(len(w) > 20 for w in words))]
+    pairs = list(zip(words, words[1:]))
+    rows = raw.split(b"\n")
+    out += [len(set(words)) / n, max((words.count(w) for w in set(words)), default=0) / n, len(set(pairs)) / len(pairs) if pairs else 0, len(set(rows)) / len(rows)]
+    return out
+
+
+def test_statistics_equal_plain_counts(odd_texts):
+    texts = [t for t in odd_texts if len(t or "") < 10_000] + ["Aa BB!! cc cc #x$ 12,5 \n\n a\tb", "é É ß", "x\ny\nx"]
+    assert statistics(texts) == pytest.approx(np.array([naive_statistics(t) for t in texts]))
+
+
+def test_quality_equals_brute_force(spark, corpus, tables):
+    """The whole fit again: features, ridge by least squares on all rows, isotonic means by their min-max formula."""
+    docs, marks, _ = corpus
+    labels = spark.createDataFrame([(i, m, 0) for i, m in enumerate(marks)], "doc_id long, quality int, toxic int")
+    found = {r["doc_id"]: r["score"] for r in op3_quality(spark, tables(documents=docs, labels=labels)).collect()}
+    texts = dict(docs.select("doc_id", "text").collect())
+    x = {i: np.array(naive_statistics(t), dtype=np.float32).astype(float) for i, t in texts.items()}
+    fits, later = ([i for i in range(400) if remainder(i, 5) in part] for part in ((2, 3, 4), (1,)))
+    mean, scale = np.mean([x[i] for i in fits], axis=0), np.std([x[i] for i in fits], axis=0)
+    scale[scale <= 1e-9] = 1
+    w, b = quality.QualityModel.plane()
+
+    def lift(i):
+        z = np.clip((x[i] - mean) / scale, -8, 8)
+        return np.concatenate([np.sqrt(2 / quality.FEATURES) * np.cos(z @ w + b), z, [1.0]])
+
+    a, y = np.array([lift(i) for i in fits]), np.array([marks[i] for i in fits], dtype=float)
+    pull = np.sqrt(quality.RIDGE * len(fits)) * np.eye(a.shape[1])[:-1]
+    weights = np.linalg.lstsq(np.vstack([a, pull]), np.concatenate([y, np.zeros(len(pull))]), rcond=None)[0]
+    width = (quality.HIGH - quality.LOW) / quality.BINS
+    bins = {}
+    for i in later:
+        at = int(min(max((lift(i) @ weights - quality.LOW) / width, 0), quality.BINS - 1))
+        bins.setdefault(at, []).append(marks[i])
+    keys = sorted(bins)
+    rate = lambda p, q: sum(sum(bins[k]) for k in keys[p : q + 1]) / sum(len(bins[k]) for k in keys[p : q + 1])
+    level = [max(min(rate(p, q) for q in range(i, len(keys))) for p in range(i + 1)) for i in range(len(keys))]
+    groups = {}
+    for k, v in zip(keys, level):
+        groups.setdefault(round(v, 12), []).append(k)
+    middle = [(sum(len(bins[k]) * (quality.LOW + (k + 0.5) * width) for k in ks) / (n := sum(len(bins[k]) for k in ks)), n, sum(sum(bins[k]) for k in ks)) for _, ks in sorted(groups.items())]
+    knots = [(quality.LOW, middle[0][2] / (middle[0][1] + 1)), *((at, (o + 0.5 * o / n) / (n + 0.5)) for at, n, o in middle), (quality.HIGH, (middle[-1][2] + 1) / (middle[-1][1] + 1))]
+    for i in texts:
+        assert found[i] == pytest.approx(float(np.clip(np.interp(lift(i) @ weights, *zip(*knots)), 0, 1)), abs=1e-5)
+
+
 def test_held_out_labels_never_train(spark, corpus, tables):
     docs, marks, _ = corpus
     make = lambda flip: spark.createDataFrame([(i, 1 - m if flip and remainder(i, 5) == 0 else m, 0) for i, m in enumerate(marks)], "doc_id long, quality int, toxic int")
@@ -245,6 +305,65 @@ def test_viterbi_equals_brute_force():
             assert value(labels[a:b], scores[a:b]) == pytest.approx(best, abs=1e-4)
 
 
+def test_language_equals_brute_force(spark, corpus, tables):
+    """Counts, scores and paths of every document again, word by word."""
+    from kvlake.llm.shingles import Words
+
+    docs, _, langs = corpus
+    path = tables(documents=docs)
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in op4_language(spark, path).collect()}
+    texts = dict(docs.select("doc_id", "text").collect())
+    script = lambda w: sum(language.SCRIPTS[i] <= ord(w[0]) for i in range(len(language.SCRIPTS))) - 1
+
+    def words_of(text):
+        """(lower-cased bytes, script) of the runs of letters and of bytes beyond ASCII."""
+        return [(w.encode(), script(w)) for w in re.findall(r"[a-z\x80-\U0010ffff]+", (text or "").lower())]
+
+    def cells(word):
+        b = b" " + word + b" "
+        three = [(((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 2654435761) % 2**32) >> 17 for i in range(len(b) - 2)]
+        return three, int(Words([word]).hashes[0]) >> 49
+
+    names = sorted(set(langs))
+    grams, whole, scripts = ({n: {} for n in names} for _ in range(3))
+    for i in range(400):
+        if remainder(i, 4) != 2:
+            for word, kind in words_of(texts[i]):
+                three, one = cells(word)
+                for into, keys in ((grams, three), (whole, [one]), (scripts, [kind])):
+                    for k in keys:
+                        into[langs[i]][k] = into[langs[i]].get(k, 0) + 1
+    size = language.BUCKETS
+    log = lambda t, n, k: np.log((t[n].get(k, 0) + 0.5) / (sum(t[n].values()) + 0.5 * size))
+    share = lambda n, k: scripts[n].get(k, 0) >= language.SHARE * max(sum(scripts[n].values()), 1)
+    for i, text in texts.items():
+        words = words_of(text)
+        if not words:
+            assert found[i] == ("und", 0.0)
+            continue
+        value, back = np.zeros(len(names)), []
+        for word, kind in words:
+            three, one = cells(word)
+            able = [share(n, kind) for n in names]
+            able = able if any(able) else [True] * len(names)
+            own = np.array([sum(log(grams, n, k) for k in three) + log(whole, n, one) if ok else -1e6 for n, ok in zip(names, able)])
+            own = np.maximum(own - own.max(), -language.MOST)
+            step = value[:, None] - language.SWITCH * (1 - np.eye(len(names)))
+            back.append(step.argmax(axis=0))
+            value = step.max(axis=0) + own
+        path = [int(value.argmax())]
+        for choice in reversed(back[1:]):
+            path.append(int(choice[path[-1]]))
+        letters = np.bincount(path[::-1], [len(w) for w, _ in words], len(names))
+        assert found[i][0] == names[int(letters.argmax())] and found[i][1] == pytest.approx(letters.max() / letters.sum())
+
+
+def test_lower_case_by_code_point():
+    assert language.lowered("Ä Ö İ K").decode() == "ä ö İ k" and language.lowered("ÄB Ö") == "äb ö".encode()
+    for text in ("ΟΔΟΣ İ ẞ Ⱥx", "AİB" * 50, "x"):
+        assert len(language.lowered(text)) == len(text.encode())
+
+
 CARD = "4539 1488 0343 6467"
 
 
