@@ -1,9 +1,9 @@
 """Byte-level BPE: ranked merges folded over the byte arrays of distinct words; decoding concatenates binary pieces.
 
-Written for Arrow batches in Python workers instead of higher-order functions: those evaluate lambdas one by one, know
-no hash lookup in a 50,000-entry map literal, and joining the ids of corpus-wide distinct words back to every word of
-every text would shuffle several times the input (see README).  Within a batch each distinct word is folded once; a
-bounded table keeps words between batches.
+``fold_in_sql`` is the fold in higher-order functions with a literal rank map.  It gives the same ids but takes some
+hundred times as long for a word, and its words would have to be joined back to every occurrence (figures in the README),
+so the operator folds in Python workers: within a batch each distinct word once; a bounded table keeps words between
+batches.
 
 Whole texts are encoded, however long; long words by a heap.  Null texts count as empty and have no ids; the ids of an empty text hash as the empty string.  Repeated rows are
 encoded each; an empty table gives an empty result; other columns are not read.
@@ -14,7 +14,8 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from kvlake.llm.common import arrow_map
 
@@ -70,6 +71,40 @@ def fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
+def rank_map(ranks: dict[bytes, int], buckets: int = 1 << 14) -> Column:
+    """The ranks as a literal: hash buckets of (piece in hexadecimal, rank), since lookups in a map literal are linear."""
+    import json
+
+    import xxhash
+
+    table: list[list[dict]] = [[] for _ in range(buckets)]
+    for piece, rank in ranks.items():
+        table[xxhash.xxh64_intdigest(piece.hex().encode(), seed=42) % buckets].append({"p": piece.hex(), "r": rank})
+    return F.from_json(F.lit(json.dumps(table)), "array<array<struct<p:string,r:int>>>")
+
+
+def fold_in_sql(word: Column, table: Column, buckets: int = 1 << 14) -> Column:
+    """Ids of a word (not empty) by higher-order functions; ``table`` is rank_map's."""
+    let = lambda value, body: F.transform(F.array(value), body)[0]
+    find = lambda piece: F.get(F.filter(F.get(table, F.pmod(F.xxhash64(piece), F.lit(buckets)).cast("int")), lambda e: e["p"] == piece), F.lit(0))["r"]
+
+    def merge(parts: Column, ranks: Column) -> Column:
+        at = F.array_position(ranks, F.array_min(ranks)).cast("int")
+        after = F.slice(parts, at + 2, F.greatest(F.size(parts) - at - 1, F.lit(0)))
+        both = F.array(F.concat(F.get(parts, at - 1), F.get(parts, at)))
+        return F.when(F.array_min(ranks).isNull(), parts).otherwise(F.concat(F.slice(parts, F.lit(1), at - 1), both, after))
+
+    def step(parts: Column, _: Column) -> Column:
+        n = F.size(parts) - 1
+        pairs = F.zip_with(F.slice(parts, F.lit(1), n), F.slice(parts, F.lit(2), n), lambda a, b: find(F.concat(a, b)))
+        return F.when(n < 1, parts).otherwise(let(pairs, lambda ranks: merge(parts, ranks)))
+
+    whole = F.lower(F.hex(word.cast("binary")))
+    single = F.regexp_extract_all(whole, F.lit(".."), F.lit(0))
+    folded = F.transform(F.aggregate(F.sequence(F.lit(1), F.size(single)), single, step), find)
+    return let(find(whole), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(folded))
+
+
 def decode(ids, pieces: list[bytes]) -> bytes:
     return b"".join([pieces[i] for i in ids])
 

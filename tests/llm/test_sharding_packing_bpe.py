@@ -79,6 +79,18 @@ def test_long_fold_equals_short(word):
         assert fold(word, RANKS) == fold_long(word, RANKS)
 
 
+def test_fold_in_sql(spark, odd_texts):
+    import regex
+    from pyspark.sql import functions as F
+
+    from kvlake.llm.bpe import fold, fold_in_sql, rank_map
+
+    split = regex.compile(P.PATTERN).findall
+    words = sorted({w for t in odd_texts for w in split(t or "")[:40]}, key=len)[:150]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", fold_in_sql(F.col("w"), rank_map(RANKS)).alias("ids")).collect()
+    assert len(rows) == len(words) and all(list(r["ids"]) == fold(r["w"].encode(), RANKS) for r in rows)
+
+
 def test_bpe_query(spark, make_docs, odd_texts, tables):
     own = Encoder(RANKS, P.PATTERN)
     rows = op2_bpe(spark, tables(documents=make_docs(odd_texts))).collect()
@@ -94,7 +106,6 @@ def test_bpe_query(spark, make_docs, odd_texts, tables):
 @settings(deadline=None)
 def test_fast_ids_equal_tokenizer(text):
     exact = Tokenizer.from_file(JSON[0])
-    exact.encode_special_tokens = True
     text = text.encode("utf-8", "ignore").decode()
     assert encode_ids(text, *JSON).tolist() == exact.encode(text, add_special_tokens=False).ids
 
@@ -130,13 +141,15 @@ def test_plan_is_near_the_bound():
 
 
 def test_packing_query(spark, make_docs, odd_texts, tables):
+    exact = Tokenizer.from_file(JSON[0])
+    odd_texts = [*odd_texts, "Hello <|endoftext|> world", "<|endoftext|> x", "これは<|endoftext|>です"]
     rows = op10_packing(spark, tables(documents=make_docs(odd_texts))).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r["doc_id"]].append(r)
         by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
     for i, text in enumerate(odd_texts):
-        ids = np.append(encode_ids(text or "", *JSON), 2).astype("<u4")
+        ids = np.append(exact.encode(text or "", add_special_tokens=False).ids, 2).astype("<u4")
         pieces = sorted(by_doc[i], key=lambda r: r["piece"])
         assert [r["piece"] for r in pieces] == list(range(-(-len(ids) // 1024))) and all(r["length"] == 1024 for r in pieces[1:])
         at = 0
