@@ -1,16 +1,18 @@
 """Exact near-duplicate vectors by int8 tile products with error bounds.
 
-Equal vectors become one with a count.  Each distinct one goes to the cell of the nearest of some pivots, a cell with many
-to several tiles.  Two cells are compared only if the angle between their pivots, less the widest angle of each to its
-own vectors, doesn't rule out every pair; each pair of tiles that is left is one task.  There every normalised vector x is
+Equal vectors become one with a count.  A distinct one within FAR of the nearest of some pivots is in the cell of that
+pivot, the others are far; cells with many vectors have several tiles.  Two cells are compared only if the angle between
+their pivots, less the widest angle of each to its own vectors, doesn't rule out every pair.  Far vectors are compared with
+all others, dealt to tiles by a hash.  Each pair of tiles that is left is one task.
+There every normalised vector x is
 rounded to ``s * q`` with q of int8 and its rounding error ``r = |x - s q|`` is measured, so ``x.y`` differs from
 ``s t q.p`` by at most ``r_x + (1 + r_x) r_y``.  Products of int8 values are summed exactly (float32 holds them below
 2^24; longer vectors go by slices).  Only pairs whose bound reaches the threshold are computed again, in double precision
 from the input.  A task returns, for each vector, its number of links and the root of its component inside the task, never
 the pairs, so its output is no longer than its input.
 
-Vectors that lie in clusters meet those of near cells only.  Vectors without any such order (all angles about 90 degrees)
-can't be ruled out by bounds: then all pairs are compared, and each vector moves once for every tile.
+Vectors that lie in clusters meet those of near cells and the far ones only.  Vectors without any such order (all angles
+about 90 degrees) are all far: then all pairs are compared, and each vector moves once for every tile.
 
 Null or zero vectors and those with null or non-finite components link with nothing and are their own component.
 Repeated rows are copies.  Ties between pivots go to the first.  Vectors of different dimension are never compared.  An
@@ -28,6 +30,8 @@ from kvlake.llm.components import components
 
 #: Numbers in a tile, its rows at most, and pivots at most.
 VALUES, TILE, PIVOTS = 1 << 20, 1 << 14, 1 << 11
+#: Distinct vectors for each pivot; angle from the nearest pivot (radians) beyond which a vector is far.
+CROWD, FAR = 64, 0.62
 #: Slack of angles, far above their rounding.
 SLACK = 1e-6
 #: Rows of a tile multiplied at once.
@@ -92,15 +96,18 @@ def local_roots(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
     return label
 
 
-def cells(once: DataFrame, tile: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """once (v, rep, copies) with dim and cell; tiles of each cell; which cells may hold a pair (angles in radians)."""
+def cells(once: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """once (v, rep, copies) with dim and cell; vectors of each cell; the least angle between vectors of two cells.
+
+    Cell 0 holds the far vectors.
+    """
     total = once.count()
     pivots: dict[int, np.ndarray] = {}
-    drawn = once.orderBy(F.xxhash64("rep"), "rep").limit(min(PIVOTS, max(1, -(-total // tile)))).select("v").collect()
+    drawn = once.orderBy(F.xxhash64("rep"), "rep").limit(min(PIVOTS, max(1, total // CROWD))).select("v").collect()
     for (v,) in drawn:
         pivots.setdefault(len(v), []).append(v)
     pivots = {dim: unit(np.array(rows, dtype=np.float64)) for dim, rows in pivots.items()}
-    first = dict(zip(pivots, np.cumsum([1, *(len(x) for x in pivots.values())]), strict=False))  # cell 0: dimensions without a pivot
+    first = dict(zip(pivots, np.cumsum([1, *(len(x) for x in pivots.values())]), strict=False))
 
     def place(batches):
         import pyarrow as pa
@@ -113,25 +120,21 @@ def cells(once: DataFrame, tile: int) -> tuple[DataFrame, np.ndarray, np.ndarray
                 for i in range(0, len(at), SLAB):
                     some = at[i : i + SLAB]
                     found = unit(vectors.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).reshape(len(some), -1)) @ near.T
-                    cell[some], cosine[some] = first[dim] + found.argmax(axis=1), found.max(axis=1)
+                    best = found.max(axis=1)
+                    cell[some], cosine[some] = np.where(best >= np.cos(FAR), first[dim] + found.argmax(axis=1), 0), best
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dims.astype(np.int32)), pa.array(cell), pa.array(cosine)], names=["v", "rep", "copies", "dim", "cell", "cosine"])
 
     kinds = {f.name: f.dataType.simpleString() for f in once.schema}
     placed = materialize(arrow_map(once.select("v", "rep", "copies"), place, f"v {kinds['v']}, rep {kinds['rep']}, copies long, dim int, cell int, cosine double"), "vector-cells")
     many = 1 + sum(map(len, pivots.values()))
-    tiles, wide = np.zeros(many, np.int64), np.zeros(many)
+    sizes, wide = np.zeros(many, np.int64), np.zeros(many)
     for cell, n, least in placed.groupBy("cell").agg(F.count(F.lit(1)), F.min("cosine")).collect():
-        tiles[cell], wide[cell] = -(-n // tile), np.arccos(np.clip(least, -1, 1))
-    apart = np.zeros((many, many))
+        sizes[cell], wide[cell] = n, np.arccos(np.clip(least, -1, 1))
+    apart = np.full((many, many), np.inf, np.float32)
     for dim, near in pivots.items():
         own = slice(first[dim], first[dim] + len(near))
-        apart[own, own] = np.arccos(np.clip(near @ near.T, -1, 1))
-    for one, a in pivots.items():
-        for other, b in pivots.items():
-            if one != other:
-                apart[first[one] : first[one] + len(a), first[other] : first[other] + len(b)] = np.inf
-    apart[0, 1:] = apart[1:, 0] = np.inf  # other dimensions
-    return placed.drop("cosine"), tiles, apart - wide[:, None] - wide[None, :]
+        apart[own, own] = np.arccos(np.clip(near @ near.T, -1, 1)) - wide[own, None] - wide[None, own]
+    return placed.drop("cosine"), sizes, apart
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", tile: int | None = None) -> DataFrame:
@@ -143,27 +146,36 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     rows = rows.withColumn("v", F.when(good, F.col("v")))
     once = materialize(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vectors")
     longest = once.agg(F.max(F.size("v"))).first()[0] or 1
-    placed, tiles, apart = cells(once, tile or max(256, min(TILE, VALUES // longest)))
-    meets = np.packbits(apart <= np.arccos(threshold) + SLACK, axis=1)  # at most PIVOTS^2 bits
+    placed, sizes, apart = cells(once)
+    tile = tile or max(256, min(TILE, VALUES // longest))
+    tiles = -(-sizes // tile)
     first = np.concatenate([[0], np.cumsum(tiles)])
-    every = int(first[-1])
+    far, others = int(tiles[0]), int(-(-sizes[1:].sum() // tile))
+    # Far tiles come first, then those of cells, then all vectors of cells in other tiles, to be met by the far ones.
+    every, total = int(first[-1]), int(first[-1]) + others
+    meets = np.packbits(apart <= np.arccos(threshold) + SLACK, axis=1)  # at most PIVOTS^2 bits
 
     def spread(batches):
-        """Every vector to the tasks of its tile: one for each tile of the cells that its cell meets."""
+        """Every vector to the tasks of its tiles, with the tile as which it goes there."""
         import pyarrow as pa
         import xxhash
 
         for batch in batches:
             cell = batch.column("cell").to_numpy()
             part = np.array([xxhash.xxh64_intdigest(str(r)) for r in batch.column("rep").to_pylist()], dtype=np.uint64)
-            own = first[cell] + (part % tiles[cell].astype(np.uint64)).astype(np.int64)
+            own = first[cell] + (part % np.maximum(tiles[cell], 1).astype(np.uint64)).astype(np.int64)
+            loose = every + (part // np.uint64(1 << 20) % np.uint64(max(others, 1))).astype(np.int64)
             for c in np.unique(cell).tolist():
                 at = np.flatnonzero(cell == c)
-                others = np.flatnonzero(np.unpackbits(meets[c], count=len(tiles)))
-                for t in np.concatenate([np.arange(first[o], first[o + 1]) for o in others]).tolist():
-                    task = np.minimum(own[at], t) * every + np.maximum(own[at], t)
-                    chosen = batch.select(["v", "rep", "copies", "dim"]).take(pa.array(at))
-                    yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array(own[at]), pa.array(task)], names=["v", "rep", "copies", "dim", "tile", "task"])
+                if c:
+                    near = np.flatnonzero(np.unpackbits(meets[c], count=len(tiles)))
+                    plan = [(own, t) for o in near for t in range(first[o], first[o + 1])] + [(loose, t) for t in range(far)]
+                else:
+                    plan = [(own, t) for t in (*range(far), *range(every, total))]
+                chosen = batch.select(["v", "rep", "copies", "dim"]).take(pa.array(at))
+                for mine, t in plan:
+                    task = np.minimum(mine[at], t) * total + np.maximum(mine[at], t)
+                    yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array(mine[at]), pa.array(task)], names=["v", "rep", "copies", "dim", "tile", "task"])
 
     kinds = {f.name: f.dataType.simpleString() for f in placed.schema}
     tasks = arrow_map(placed, spread, f"v {kinds['v']}, rep {kinds['rep']}, copies long, dim int, tile long, task long")
@@ -175,7 +187,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
         part = table.column("tile").to_numpy()
         ids, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
         x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-        i, j = divmod(task, every)
+        i, j = divmod(task, total)
         left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
         pairs = []
         if len(left) and len(right):

@@ -230,10 +230,12 @@ def vectors():
     return rows + [None, [0.0] * 16, [float("nan")] + [1.0] * 15, [None] + [1.0] * 15, [float("inf")] * 16, [], [1.0, 2.0], [2.0, 4.0], rows[3], rows[3]]
 
 
-@pytest.mark.parametrize("tile", [None, 20, 5])
-def test_vectors(spark, vectors, tables, tile, monkeypatch):
+@pytest.mark.parametrize(("tile", "crowd", "far"), [(None, 64, 0.62), (20, 3, 0.62), (5, 1, 0.4), (7, 2, 3.2)])
+def test_vectors(spark, vectors, tables, tile, crowd, far, monkeypatch):
     from kvlake.llm import embedding_dedup
 
+    monkeypatch.setattr(embedding_dedup, "CROWD", crowd)
+    monkeypatch.setattr(embedding_dedup, "FAR", far)
     monkeypatch.setattr(embedding_dedup.near_vectors, "__defaults__", (0.95, "vec_id", "embedding", tile))
     frame = spark.createDataFrame([(i, v, 1, "x") for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int, rep string")
     good = [i for i, v in enumerate(vectors) if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
