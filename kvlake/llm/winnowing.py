@@ -54,9 +54,9 @@ def fingerprint(text: Column, k: int = K, window: int = WINDOW) -> Column:
 
     def block(units: Column, start: Column, grams: Column) -> Column:
         here = F.least(grams - start, F.lit(BLOCK + window - 1))
-        width = F.when(grams == 1, F.octet_length(units)).otherwise(F.lit(4 * k))
-        places = F.sequence(F.lit(0), here - 1)
-        values = F.transform(places, lambda i: F.shiftleft(F.xxhash64(F.substring(units, (start + i) * 4 + 1, width)), BITS).bitwiseOR((F.lit(LOW) - i).cast("long")))
+        # A slice beyond the end is cut, so a text shorter than a gram is one gram.
+        places = F.sequence(start * 4 + 1, (start + here) * 4 - 3, F.lit(4))
+        values = F.transform(places, lambda at, i: F.shiftleft(F.xxhash64(F.substring(units, at, F.lit(4 * k))), BITS) + (F.lit(LOW) - i))
         kept = lambda v: F.when(F.size(v) < window, F.array(F.array_min(v))).otherwise(F.array_distinct(_let(least(v, 1), lambda w: least(w, step))))
         return F.transform(_let(values, kept), lambda v: F.struct(F.shiftrightunsigned(v, BITS).alias("h"), (start + F.lit(LOW) - v.bitwiseAND(F.lit(LOW))).cast("int").alias("p")))
 
@@ -72,30 +72,36 @@ def fingerprint(text: Column, k: int = K, window: int = WINDOW) -> Column:
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, none).otherwise(_let(F.encode(text, "UTF-32"), whole))
 
 
-def joined(first: Column, n_first: Column, own: Column, n_second: Column, other: Column, whole: Column, k: int = K, window: int = WINDOW) -> Column:
+def joined(n_first: Column, own: Column, n_second: Column, other: Column, whole: Column, k: int = K, window: int = WINDOW) -> Column:
     """The fingerprint of ``whole``: the first ``n_first`` code points of one text, then the first ``n_second`` of another.
 
-    ``own`` and ``other`` are the fingerprints of both texts, ``first`` says whether the first text itself is that long.
+    ``own`` and ``other`` are the fingerprints of both texts.  The numbers must be plain columns: lambdas evaluate them for
+    every gram.
     """
-    n = n_first + n_second
-    grams = n_first - (k - 1)  # grams inside the first part; likewise of the second
-    grams_2 = n_second - (k - 1)
-    # A kept gram belongs to a window that starts there or before; such windows lie inside a part up to its last one.
-    head = F.filter(own, lambda g: g["p"] <= grams - window)
-    tail = F.transform(F.filter(other, lambda g: g["p"] <= grams_2 - window), lambda g: F.struct(g["h"].alias("h"), (g["p"] + n_first).cast("int").alias("p")))
+    grams, grams_2 = n_first - (k - 1), n_second - (k - 1)  # inside either part
+    moved = lambda prints, by: F.transform(prints, lambda g: F.struct(g["h"].alias("h"), (g["p"] + by).cast("int").alias("p")))
 
     def again(start: Column, size: Column) -> Column:
         """What windows inside a slice of the whole keep."""
-        return F.transform(fingerprint(F.substring(whole, start + 1, size), k, window), lambda g: F.struct(g["h"].alias("h"), (g["p"] + start).cast("int").alias("p")))
+        return moved(fingerprint(F.substring(whole, start + 1, size), k, window), start)
 
+    # A kept gram belongs to a window that starts there or before, so up to the last window inside a part its prints hold.
+    head = F.filter(own, lambda g: g["p"] <= grams - window)
     seam_at = F.greatest(grams - 2 * window + 2, F.lit(0))
+    seam = F.filter(again(seam_at, n_first + window + k - 2 - seam_at), lambda g: g["p"] > grams - window)
     end_at = n_first + F.greatest(grams_2 - 2 * window + 2, F.lit(0))
-    seam = again(seam_at, n_first + window + k - 2 - seam_at)
-    end = F.when(grams_2 >= window, again(end_at, n - end_at)).otherwise(F.array().cast(NONE))
-    parts = F.array_sort(F.concat(head, seam, tail, end), lambda a, b: a["p"] - b["p"])
-    once = _let(parts, lambda kept: F.filter(kept, lambda g, i: (i == 0) | (g["p"] != F.get(kept, i - 1)["p"])))
+    end = F.filter(again(end_at, n_first + n_second - end_at), lambda g: g["p"] > n_first + grams_2 - window)
+    second = F.when(grams_2 < window, F.array().cast(NONE)).otherwise(F.concat(moved(F.filter(other, lambda g: g["p"] <= grams_2 - window), n_first), end))
+    # Only the first grams of the second part can be kept by windows across the seam as well as by its own.
+    beyond = n_first + window - 1
+
+    def merged(seam: Column, second: Column) -> Column:
+        near = F.array_sort(F.array_distinct(F.concat(F.filter(seam, lambda g: g["p"] >= n_first), F.filter(second, lambda g: g["p"] < beyond))), lambda a, b: a["p"] - b["p"])
+        return F.concat(head, F.filter(seam, lambda g: g["p"] < n_first), near, F.filter(second, lambda g: g["p"] >= beyond))
+
+    once = _let(seam, lambda x: _let(second, lambda y: merged(x, y)))
     # Short texts have windows of their own kind.
-    return F.when(n < 4 * (window + k), fingerprint(whole, k, window)).when(n_second == 0, F.when(first, own).otherwise(fingerprint(whole, k, window))).otherwise(once)
+    return F.when((n_first + n_second < 4 * (window + k)) | (n_second == 0), fingerprint(whole, k, window)).otherwise(once)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -107,8 +113,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def as_text(a: Column) -> Column:
-    """position:hash pairs, the hash in hexadecimal."""
-    return F.array_join(F.transform(a, lambda g: F.concat(g["p"].cast("string"), F.lit(":"), F.lower(F.hex(g["h"])))), ",")
+    """All positions, a bar, and the hashes at these, in decimal."""
+    return F.concat(F.array_join(a["p"].cast("array<string>"), ","), F.lit("|"), F.array_join(a["h"].cast("array<string>"), ","))
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,11 +167,10 @@ def op7_fingerprints(spark, sf_dir: str) -> DataFrame:
     ranged = in_ranges(docs, "doc_id").repartition(F.col("_range")).withColumn("_prints", fingerprint(F.col("text")))
     order = Window.partitionBy("_range").orderBy("_edge", "_key", "text")
     after = ranged.withColumn("_next", F.lead(F.struct("text", "_prints")).over(order)).where(~F.col("_edge"))
-    n = F.col("n_chars").cast("int")
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    kept, taken = n - half, F.least(half, F.length("_next.text"))
-    edited = after.withColumn("n_chars", F.length("text").cast("long")).withColumn("_edited", F.concat(F.substring("text", F.lit(1), kept), F.substring(F.col("_next.text"), F.lit(1), half)))
-    prints = joined(half == 0, kept, F.col("_prints"), taken, F.col("_next._prints"), F.col("_edited"))
+    sized = after.withColumn("n_chars", F.length("text").cast("long")).withColumns({"_kept": F.col("n_chars").cast("int") - half, "_taken": F.least(half, F.length("_next.text"))})
+    edited = sized.withColumn("_edited", F.concat(F.substring("text", F.lit(1), F.col("_kept")), F.substring(F.col("_next.text"), F.lit(1), F.col("_taken"))))
+    prints = joined(F.col("_kept"), F.col("_prints"), F.col("_taken"), F.col("_next._prints"), F.col("_edited"))
     printed = edited.select("doc_id", "n_chars", "_prints", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), prints.alias("_edited_prints"), F.col("_next._prints").alias("_next_prints"))
     return printed.select(
         "doc_id", "n_chars", "edited_sha256",

@@ -68,6 +68,10 @@ def test_jaccard_classes(monkeypatch, make_docs, copies, few, n, num):
 
 def test_jaccard_by_join_of_texts(monkeypatch, make_docs, copies):
     monkeypatch.setattr(jaccard_join, "PICKED", 1)
+    monkeypatch.setattr(jaccard_join, "SHARED", 1)
+    monkeypatch.setattr(jaccard_join, "LOWEST", 1)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 1)
+    monkeypatch.setattr(jaccard_join, "FEW", 2)
     found = {r["id"]: (r["n"], r["component"]) for r in Join(make_docs(copies), 3, 90, 100).run().collect()}
     assert found == brute_classes(copies, 3, 90, 100)
 
@@ -140,6 +144,10 @@ def brute_print(text, k=8, window=16):
     return [(p, grams[p]) for p in kept]
 
 
+def written(prints):
+    return ",".join(str(p) for p, _ in prints) + "|" + ",".join(str(h) for _, h in prints)
+
+
 def alike(a, b):
     x, y = {h for _, h in a}, {h for _, h in b}
     return len(x & y) / len(x | y) if x | y else 1.0
@@ -158,7 +166,7 @@ def test_fingerprints(spark, make_docs, odd_texts, tables):
         own, changed, next_ = brute_print(text), brute_print(edited), brute_print(after)
         r = rows[doc]
         assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert r["fingerprint"] == ",".join(f"{p}:{h:x}" for p, h in own) and r["edited_fingerprint"] == ",".join(f"{p}:{h:x}" for p, h in changed)
+        assert r["fingerprint"] == written(own) and r["edited_fingerprint"] == written(changed)
         assert r["near_edited"] == pytest.approx(alike(own, changed)) and r["near_next"] == pytest.approx(alike(own, next_))
 
 
@@ -192,7 +200,7 @@ def test_edited_fingerprints(spark, make_docs, tables):
     for i, text in enumerate(texts):
         after, half = texts[(i + 1) % len(texts)], len(text) // 2
         edited = brute_print(text[: len(text) - half] + after[:half])
-        assert rows[i]["edited_fingerprint"] == ",".join(f"{p}:{h:x}" for p, h in edited), (len(text), len(after))
+        assert rows[i]["edited_fingerprint"] == written(edited), (len(text), len(after))
         assert rows[i]["near_edited"] == pytest.approx(alike(brute_print(text), edited))
 
 
