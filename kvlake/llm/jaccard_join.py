@@ -8,8 +8,8 @@ Two documents link when ``|A n B| / |A u B|`` of their word-shingle sets reaches
 2. The order is cut into FRAGMENTS: ranges of rare shingles, and the common ones as the last.
 3. Documents with equal sets are one node.  Two sets that link share a shingle in the first ``n - ceil(t n) + 1`` of
    their order, so these are the keys of candidates.  Common passages stand last and are hardly ever keys.
-4. Nodes of a key are compared as pairs where they are few.  In a hot key each node is first compared with the node of
-   middle size only; then, after components are known, nodes of different components, in blocks.  No pair inside a
+4. Nodes of a key are compared as pairs where they are few.  In a hot key each node is first compared with PIVOTS of
+   them only; then, after components are known, nodes of different components, in blocks.  No pair inside a
    component is emitted.  A candidate pair must fit in size and in a parity sketch, whose differing bits never outnumber
    the differing shingles; both tests only drop pairs that can't link.
 5. Sets of candidates are partitioned vertically: a row for each node and fragment.  Overlaps are counted for each pair
@@ -18,12 +18,14 @@ Two documents link when ``|A n B| / |A u B|`` of their word-shingle sets reaches
 
 Components of the links are found without collecting anything.  Null and blank texts have an empty set and link with
 nothing.  Equal texts and repeated rows share a node; of rows that repeat an id with another text each has its own set.
-Ties of sizes go to the lowest id.  A very long text is one row, and a segment of its set one row of the comparison.
+A very long text is one row, and a segment of its set one row of the comparison.
 Other columns are never read, whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,12 +40,18 @@ COMMON, MOST = 8, 1 << 19
 CELL, BYTES_A_COUNTER, HELD = 20, 8, 1 << 22
 #: Fragments of the global order; the last holds the common shingles.
 FRAGMENTS = 16
-#: Bits of the parity sketch of a set.
-PARITY = 256
+#: Bits of the parity sketch of a set, and of its folded form in the rows of all keys.
+PARITY, FOLDED = 1024, 256
 #: Nodes of a key up to which all its pairs are compared at once, nodes of a block in hot keys.
 FEW, BLOCK = 24, 256
+#: Nodes of a hot key with which all its nodes are compared first.
+PIVOTS = 6
 #: Ids up to which texts are picked by a Bloom filter of BLOOM bits in the scan; beyond, by a join.
 PICKED, BLOOM = 1 << 20, 23
+#: Shared keys up to which a filter of KEY_BLOOM bits drops the others before they move; beyond, the join does.
+SHARED, KEY_BLOOM = 1 << 22, 25
+#: Hot keys of a node, the lowest, by which a pair is met at the first key that both share.
+LOWEST = 16
 
 
 def packed(rising: np.ndarray) -> bytes:
@@ -174,9 +182,9 @@ def describe(docs: DataFrame, n: int, num: int, den: int, order: Order, id_col:
             flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
             sketches = np.array(sketches).reshape(-1, words)
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(signs[:, 0]), pa.array(signs[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), *(pa.array(sketches[:, i]) for i in range(words))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "s1", "s2", "keys", *(f"p{i}" for i in range(words))])
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "s1", "s2", "keys", *(f"w{i}" for i in range(words))])
 
-    schema = "id long, n long, s1 long, s2 long, keys array<long>, " + ", ".join(f"p{i} long" for i in range(words))
+    schema = "id long, n long, s1 long, s2 long, keys array<long>, " + ", ".join(f"w{i} long" for i in range(words))
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("id"), text_col), run, schema)
 
 
@@ -209,29 +217,64 @@ class Join:
         self.rows = materialize(describe(docs, n, num, den, self.order, id_col, text_col), "jaccard-rows")
         self.nodes = self.rows.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("node"))
 
-    def fits(self):
+    def fits(self, sketch: str = "p", bits: int = FOLDED):
         """Conditions on x and y that every pair that links meets."""
         low, high = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-        differ = sum((F.bit_count(F.col(f"x.p{i}").bitwiseXOR(F.col(f"y.p{i}"))) for i in range(PARITY // 64)), F.lit(0))
+        differ = sum((F.bit_count(F.col(f"x.{sketch}{i}").bitwiseXOR(F.col(f"y.{sketch}{i}"))) for i in range(bits // 64)), F.lit(0))
         most = (F.col("x.n") + F.col("y.n")) * (self.den - self.num)
         return (low * self.den >= high * self.num) & (differ * (self.den + self.num) <= most)
 
+    @staticmethod
+    def first_met():
+        """Whether the key of x and y is the first that both share, as far as their lowest keys tell."""
+        return F.coalesce(F.array_min(F.array_intersect("x.low", "y.low")) >= F.col("x.key"), F.lit(True))
+
     def reaches(self, overlaps):
         """Whether so many common shingles are enough for sets of na and nb."""
         return overlaps * (self.den + self.num) >= (F.col("na") + F.col("nb")) * self.num
 
-    def members(self) -> DataFrame:
-        """Rows (key, id, n, sketch, many) of keys with two nodes or more."""
+    def members(self) -> tuple[DataFrame, DataFrame]:
+        """Rows (key, id, n, s1, many) of keys with two nodes or more: few with folded sketches, many with whole ones and low."""
         first = self.nodes.select(F.col("node").alias("id"), "s1", "s2")
-        own = materialize(self.rows.join(first, ["id", "s1", "s2"]).drop("s1", "s2"), "jaccard-nodes")
-        keyed = own.select(F.explode("keys").alias("key"), "id")
-        many = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-        return materialize(keyed.join(many, "key").join(own.drop("keys"), "id"), "jaccard-members")
+        own = materialize(self.rows.join(first, ["id", "s1", "s2"]).drop("s2"), "jaccard-nodes")
+        part = FOLDED // 64
+        folded = [functools.reduce(lambda x, y: x.bitwiseXOR(y), [F.col(f"w{j}") for j in range(i, PARITY // 64, part)]).alias(f"p{i}") for i in range(part)]
+        counts = own.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("many"))
+        many = materialize(counts.where("many > 1"), "jaccard-keys")
+        met = materialize(self.shared_keys(own, many).join(many, "key"), "jaccard-members")
+        few = met.where(F.col("many") <= FEW).join(own.select("id", "n", "s1", *folded), "id")
+        hot = met.where(F.col("many") > FEW)
+        low = hot.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LOWEST).alias("low"))
+        return few, materialize(hot.join(low, "id").join(own.drop("keys"), "id"), "jaccard-hot")
+
+    @staticmethod
+    def shared_keys(own: DataFrame, many: DataFrame) -> DataFrame:
+        """(key, id) of all keys in ``many``; up to SHARED of them, a Bloom filter drops most others before they move."""
+        if many.count() > SHARED:
+            return own.select(F.explode("keys").alias("key"), "id")
+        at = lambda i: F.shiftrightunsigned("key", 21 * i).bitwiseAND(F.lit((1 << KEY_BLOOM) - 1))
+        words = bloom_words(many.select(*[at(i).alias(f"at{i}") for i in range(2)]), KEY_BLOOM)
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                lists = batch.column(1)
+                keys = lists.flatten().to_numpy().view(np.uint64)
+                ids = np.repeat(batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
+                kept = np.ones(len(keys), dtype=bool)
+                for i in range(2):
+                    bit = ((keys >> np.uint64(21 * i)) & np.uint64((1 << KEY_BLOOM) - 1)).astype(np.int64)
+                    kept &= (words[bit >> 6] >> (bit & 63)) & 1 == 1
+                yield pa.RecordBatch.from_arrays([pa.array(keys[kept].view(np.int64)), pa.array(ids[kept])], names=["key", "id"])
+
+        return arrow_map(own.select("id", "keys"), run, "key long, id long")
 
     def fragments_of(self, wanted: DataFrame) -> DataFrame:
-        """The vertical partition of the sets of the wanted nodes (column node): node, f, part, lead.
+        """The vertical partition of the sets of the wanted nodes (column node): node, s1, f, part, lead.
 
-        The leading fragment of a node is a row even where it is empty.
+        The leading fragment of a node is a row even where it is empty.  Some nodes that aren't wanted are there as well,
+        and other texts of an id; s1 tells texts apart.
         """
         docs = self.docs.select(F.col(self.id_col).cast("long").alias("node"), F.col(self.text_col).alias("_text"))
         at = lambda i: F.shiftrightunsigned(F.xxhash64("node"), 20 * i).bitwiseAND(F.lit((1 << BLOOM) - 1))
@@ -239,10 +282,7 @@ class Join:
         if wanted.count() > PICKED:
             docs = docs.join(wanted, "node")
         else:
-            bits = wanted.select(F.explode(F.array(*[at(i) for i in range(3)])).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
-            words = np.zeros(1 << (BLOOM - 6), dtype=np.int64)
-            for word, value in bits.collect():
-                words[word] = value
+            words = bloom_words(wanted.select(*[at(i).alias(f"at{i}") for i in range(3)]), BLOOM)
             docs = docs.select("node", "_text", *[at(i).alias(f"at{i}") for i in range(3)])
         n, order = self.n, self.order
 
@@ -262,9 +302,7 @@ class Join:
                 names = ["node", "s1", "f", "part", "lead"]
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], pa.schema(zip(names, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()), strict=True)))
 
-        exact = self.nodes.join(wanted, "node").select("node", "s1")
-        cut = arrow_map(docs, run, "node long, s1 long, f int, part binary, lead boolean").join(exact, ["node", "s1"]).select("node", "f", "part", "lead")
-        return materialize(cut, "jaccard-fragments", "lead")
+        return materialize(arrow_map(docs, run, "node long, s1 long, f int, part binary, lead boolean"), "jaccard-fragments", "lead")
 
     @staticmethod
     def partial(pairs: DataFrame, cut: DataFrame) -> DataFrame:
@@ -278,30 +316,27 @@ class Join:
                 columns = [[overlap(x, y) for x, y in found], [len(x) for x, _ in found], [len(y) for _, y in found]]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in columns)], names=["a", "b", "overlap", "in_a", "in_b"])
 
-        x, y = (cut.select(F.col("node").alias(i), "f", F.col("part").alias(p)) for i, p in ("ax", "by"))
-        return arrow_map(pairs.select("a", "b").join(x, "a").join(y, ["b", "f"]).select("a", "b", "x", "y"), count, "a long, b long, overlap long, in_a long, in_b long")
+        x, y = (cut.select(F.col("node").alias(i), F.col("s1").alias(f"s{i}"), "f", F.col("part").alias(p)) for i, p in ("ax", "by"))
+        return arrow_map(pairs.select("a", "b", "sa", "sb").join(x, ["a", "sa"]).join(y, ["b", "sb", "f"]).select("a", "b", "x", "y"), count, "a long, b long, overlap long, in_a long, in_b long")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` (a, b, na, nb) that link, with their overlap."""
+        """Those of ``pairs`` (a, b, na, nb, sa, sb) that link, with their overlap."""
         wanted = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "jaccard-wanted")
         cut = self.fragments_of(wanted)
         leading = pairs.join(self.partial(pairs, cut.where("lead")), ["a", "b"])
         beyond = F.least(F.col("na") - F.col("in_a"), F.col("nb") - F.col("in_b"))
-        still = materialize(leading.where(self.reaches(F.col("overlap") + beyond)).select("a", "b", "na", "nb", "overlap"), "jaccard-open")
+        still = materialize(leading.where(self.reaches(F.col("overlap") + beyond)).select(*pairs.columns, "overlap"), "jaccard-open")
         others = self.partial(still, cut.where("not lead")).select("a", "b", F.lit(0).alias("na"), F.lit(0).alias("nb"), "overlap")
-        total = still.union(others).groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("overlap").alias("overlap"))
+        total = still.select(others.columns).union(others).groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("overlap").alias("overlap"))
         return materialize(total.where(self.reaches(F.col("overlap"))).select("a", "b", "overlap"), "jaccard-links")
 
     def run(self) -> DataFrame:
         """Per document: id, n (set size) and component."""
-        members = self.members()
-        few, hot = members.where(F.col("many") <= FEW), members.where(F.col("many") > FEW)
+        few, hot = self.members()
         close = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & self.fits())
-        # The middle of the sizes, by a summary of bounded size; ties go to the lowest id.
-        middle = hot.groupBy("key").agg(F.percentile_approx("n", 0.5, 100).alias("_mid"))
-        pivot = hot.join(middle, "key").where("n = _mid").groupBy("key").agg(F.min("id").alias("_pivot"))
-        star = hot.join(pivot, (hot["key"] == pivot["key"]) & (hot["id"] == pivot["_pivot"])).select(hot["*"]).dropDuplicates(["key"])
-        stars = hot.alias("x").join(star.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & self.fits())
+        # Some nodes by hashes of their ids: the same ones in all keys of a group of near copies.
+        pivots = hot.groupBy("key").agg(F.array_distinct(F.array(*[F.min_by("id", F.xxhash64("id", F.lit(i))) for i in range(PIVOTS)])).alias("_pivots")).select("key", F.explode("_pivots").alias("id"))
+        stars = hot.alias("x").join(hot.join(pivots, ["key", "id"]).alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & self.fits("w", PARITY) & self.first_met())
         pairs = materialize(_pairs(close).union(_pairs(stars)).distinct(), "jaccard-pairs")
         links = self.verify(pairs)
         found = components(links)
@@ -325,14 +360,22 @@ class Join:
         every = F.sequence(F.lit(0), F.col("_blocks") - 1)
         meets = known.withColumn("_meet", F.explode(F.transform(every, lambda o: F.least(o, F.col("_block")) * F.col("_blocks") + F.greatest(o, F.col("_block")))))
         on = (F.col("x.key") == F.col("y.key")) & (F.col("x._meet") == F.col("y._meet")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
-        return _pairs(meets.alias("x").join(meets.alias("y"), on & self.fits())).distinct()
+        return _pairs(meets.alias("x").join(meets.alias("y"), on & self.fits("w", PARITY) & self.first_met())).distinct()
+
+
+def bloom_words(places: DataFrame, size: int) -> np.ndarray:
+    """The words of a filter of 2^size bits in which all bits named by the columns are set."""
+    bits = places.select(F.explode(F.array(*places.columns)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+    words = np.zeros(1 << (size - 6), dtype=np.int64)
+    words[bits["word"].to_numpy()] = bits["bits"].to_numpy()
+    return words
 
 
 def _pairs(met: DataFrame) -> DataFrame:
-    """a < b with the sizes of their sets, of rows x and y."""
+    """a < b of rows x and y, with the sizes and first signatures of their sets."""
     low = F.col("x.id") < F.col("y.id")
     either = lambda c, name: (F.when(low, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")).alias(f"{name}a" if name else "a"), F.when(low, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")).alias(f"{name}b" if name else "b"))
-    return met.select(*either("id", ""), *either("n", "n"))
+    return met.select(*either("id", ""), *either("n", "n"), *either("s1", "s"))
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
