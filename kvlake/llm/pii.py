@@ -52,7 +52,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGITS = re.compile(r"[^0-9]+")
-_AT = re.compile(r"[(\[{]at[)\]}]| at ", re.I)
+_AT = re.compile(r"[(\[{][aA][tT][)\]}]")
+_DOT = re.compile(r" [dD][oO][tT] [A-Za-z0-9]")
 _DISGUISED = r"\s?(?:\(at\)|\[at\]|\{at\})\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\(dot\)|\[dot\]|\{dot\}|\.)\s?[A-Za-z0-9-]{1,63})+| at [A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{1,63})+"
 _WIDE = {
     "email": re.compile(rf"[A-Za-z0-9._%+-]{{1,64}}(?:{_DISGUISED})", re.I),
@@ -61,9 +62,12 @@ _WIDE = {
     "ssn": re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
     "secret": re.compile(r"(?<![\w+/=-])[A-Za-z0-9+/_-]{16,128}={0,2}(?![\w+/=-])"),
-    "name": re.compile(r"(?<!\w)(?=([A-Z][^\W\d_]{1,20}\.? [A-Z][^\W\d_]{1,30}(?:-[A-Z][^\W\d_]{1,30})?(?: [A-Z][^\W\d_]{1,30})?)(?!\w))"),
+    "name": re.compile(r"[A-Z][^\W\d_]{1,20}\.? [A-Z][^\W\d_]{1,30}(?:-[A-Z][^\W\d_]{1,30})?(?: [A-Z][^\W\d_]{1,30})?(?!\w)"),
 }
 
+# A capital begins the pattern, so a search goes from capital to capital.
+_CAPITAL = re.compile(r"[A-Z][^\W\d_]{1,20}(?=\.? [A-Z])")
+
 # Gazetteers and cue words (fixed values).
 DOMAINS = set("com org net edu gov info biz io de fr es it uk us eu ch at nl be pt pl se no dk fi ca au br jp cn in ru".split())
 COUNTRY_CODES = tuple("1 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 60 61 62 63 64 65 66 7 81 82 86 90 91".split())
@@ -138,16 +142,18 @@ def mixed(span: str) -> bool:
 def wide_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Further candidates that overlap neither base spans nor each other, leftmost first."""
     found = []
-    if _AT.search(text):
+    if _AT.search(text) or _DOT.search(text):
         found += [("email", *m.span()) for m in _WIDE["email"].finditer(text)]
     if _DIGIT.search(text):
         for kind in ("phone", "ssn", "iban", "card"):
             found += [(kind, *m.span()) for m in _WIDE[kind].finditer(text)]
         found += [("secret", *m.span()) for m in _WIDE["secret"].finditer(text) if mixed(m[0])]
-    for m in _WIDE["name"].finditer(text):
-        words = m[1].replace(".", "").split()
-        if words[0] in TITLES or words[0] in GIVEN and "." not in m[1]:
-            found.append(("name", *m.span(1)))
+    for m in _CAPITAL.finditer(text):
+        at = m.start()
+        if (m[0] in TITLES or m[0] in GIVEN) and not (at and (text[at - 1].isalnum() or text[at - 1] == "_")):
+            whole = _WIDE["name"].match(text, at)
+            if whole and (m[0] in TITLES or "." not in whole[0]):
+                found.append(("name", *whole.span()))
     # Base spans merged to disjoint ones, so that one step of a search finds what overlaps.
     begins, ends = [], []
     for _, a, b in taken:
