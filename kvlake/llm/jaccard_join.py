@@ -14,7 +14,8 @@ Two documents link when ``|A n B| / |A u B|`` of their word-shingle sets reaches
    the differing shingles; both tests only drop pairs that can't link.
 5. Sets of candidates are partitioned vertically: a row for each node and fragment.  Overlaps are counted for each pair
    and fragment apart, each from the two segments alone, and summed per pair.  The leading fragment goes first; pairs
-   that can't reach the ratio with all that lies beyond it are dropped, the others are counted in the other fragments.
+   that can't reach the ratio with all that lies beyond it are dropped, the others are counted in the other fragments,
+   of which only those of nodes in such pairs are moved, each to the side where its node stands.
 
 Components of the links are found without collecting anything.  Null and blank texts have an empty set and link with
 nothing.  Equal texts and repeated rows share a node; of rows that repeat an id with another text each has its own set.
@@ -277,24 +278,19 @@ class Join:
         and other texts of an id; s1 tells texts apart.
         """
         docs = self.docs.select(F.col(self.id_col).cast("long").alias("node"), F.col(self.text_col).alias("_text"))
-        at = lambda i: F.shiftrightunsigned(F.xxhash64("node"), 20 * i).bitwiseAND(F.lit((1 << BLOOM) - 1))
         words = None
         if wanted.count() > PICKED:
             docs = docs.join(wanted, "node")
         else:
-            words = bloom_words(wanted.select(*[at(i).alias(f"at{i}") for i in range(3)]), BLOOM)
-            docs = docs.select("node", "_text", *[at(i).alias(f"at{i}") for i in range(3)])
+            words = bloom_words(wanted.select(*_places()), BLOOM)
+            docs = docs.select("node", "_text", *_places())
         n, order = self.n, self.order
 
         def run(batches):
             import pyarrow as pa
 
             for batch in batches:
-                kept = np.ones(batch.num_rows, dtype=bool)
-                for column in batch.columns[2:]:
-                    bit = column.to_numpy()
-                    kept &= (words[bit >> 6] >> (bit & 63)) & 1 == 1
-                batch = batch.filter(pa.array(kept))
+                batch = batch.filter(pa.array(_hit(words, batch.columns[2:], batch.num_rows)))
                 rows = []
                 for node, found in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), n), strict=True):
                     sign = int(mix(found).sum(dtype=np.uint64).view(np.int64))
@@ -305,8 +301,24 @@ class Join:
         return materialize(arrow_map(docs, run, "node long, s1 long, f int, part binary, lead boolean"), "jaccard-fragments", "lead")
 
     @staticmethod
-    def partial(pairs: DataFrame, cut: DataFrame) -> DataFrame:
-        """Of every pair and fragment of ``cut`` apart: a, b, overlap and the sizes of both segments."""
+    def only(cut: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The rows of ``cut`` of some nodes (column node), and few others, picked before they move; of more than PICKED nodes all rows."""
+        nodes = nodes.distinct()
+        if nodes.count() > PICKED:
+            return cut
+        words, columns = bloom_words(nodes.select(*_places()), BLOOM), cut.columns
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                yield batch.filter(pa.array(_hit(words, batch.columns[len(columns) :], batch.num_rows))).select(columns)
+
+        return arrow_map(cut.select(*columns, *_places()), run, ", ".join(f"{c} {t}" for c, t in cut.dtypes))
+
+    @staticmethod
+    def partial(pairs: DataFrame, cut_a: DataFrame, cut_b: DataFrame) -> DataFrame:
+        """Of every pair and fragment apart: a, b, overlap and the sizes of both segments, that of a from cut_a, of b from cut_b."""
 
         def count(batches):
             import pyarrow as pa
@@ -316,17 +328,20 @@ class Join:
                 columns = [[overlap(x, y) for x, y in found], [len(x) for x, _ in found], [len(y) for _, y in found]]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in columns)], names=["a", "b", "overlap", "in_a", "in_b"])
 
-        x, y = (cut.select(F.col("node").alias(i), F.col("s1").alias(f"s{i}"), "f", F.col("part").alias(p)) for i, p in ("ax", "by"))
+        x, y = (cut.select(F.col("node").alias(i), F.col("s1").alias(f"s{i}"), "f", F.col("part").alias(p)) for cut, i, p in ((cut_a, "a", "x"), (cut_b, "b", "y")))
         return arrow_map(pairs.select("a", "b", "sa", "sb").join(x, ["a", "sa"]).join(y, ["b", "sb", "f"]).select("a", "b", "x", "y"), count, "a long, b long, overlap long, in_a long, in_b long")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b, na, nb, sa, sb) that link, with their overlap."""
         wanted = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "jaccard-wanted")
         cut = self.fragments_of(wanted)
-        leading = pairs.join(self.partial(pairs, cut.where("lead")), ["a", "b"])
+        lead, rest = cut.where("lead"), cut.where("not lead").select("node", "s1", "f", "part")
+        leading = pairs.join(self.partial(pairs, lead, lead), ["a", "b"])
         beyond = F.least(F.col("na") - F.col("in_a"), F.col("nb") - F.col("in_b"))
         still = materialize(leading.where(self.reaches(F.col("overlap") + beyond)).select(*pairs.columns, "overlap"), "jaccard-open")
-        others = self.partial(still, cut.where("not lead")).select("a", "b", F.lit(0).alias("na"), F.lit(0).alias("nb"), "overlap")
+        # The bulk of the sets: either side takes those of its own nodes of open pairs.
+        sides = [self.only(rest, still.select(F.col(i).alias("node"))) for i in "ab"]
+        others = self.partial(still, *sides).select("a", "b", F.lit(0).alias("na"), F.lit(0).alias("nb"), "overlap")
         total = still.select(others.columns).union(others).groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("overlap").alias("overlap"))
         return materialize(total.where(self.reaches(F.col("overlap"))).select("a", "b", "overlap"), "jaccard-links")
 
@@ -371,6 +386,20 @@ def bloom_words(places: DataFrame, size: int) -> np.ndarray:
     return words
 
 
+def _places() -> list:
+    """The bits of column node in a filter of 2^BLOOM bits."""
+    return [F.shiftrightunsigned(F.xxhash64("node"), 20 * i).bitwiseAND(F.lit((1 << BLOOM) - 1)).alias(f"at{i}") for i in range(3)]
+
+
+def _hit(words: np.ndarray | None, columns: list, rows: int) -> np.ndarray:
+    """Which rows have all their bits in the filter."""
+    kept = np.ones(rows, dtype=bool)
+    for column in columns:
+        bit = column.to_numpy()
+        kept &= (words[bit >> 6] >> (bit & 63)) & 1 == 1
+    return kept
+
+
 def _pairs(met: DataFrame) -> DataFrame:
     """a < b of rows x and y, with the sizes and first signatures of their sets."""
     low = F.col("x.id") < F.col("y.id")

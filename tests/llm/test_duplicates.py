@@ -83,6 +83,22 @@ def test_jaccard_query(spark, make_docs, copies, tables):
     assert op8_jaccard_join(spark, tables(documents=make_docs([None, ""]))).count() == 2
 
 
+def test_jaccard_moves_fragments_of_open_pairs_only(monkeypatch, make_docs, copies):
+    """Beyond the leading fragment either side of the comparison gets the sets of its own nodes of pairs that are still open."""
+    seen, partial = [], Join.partial
+
+    def spied(pairs, *cuts):
+        if "overlap" in pairs.columns:  # the pairs that the leading fragment leaves open
+            open_ = [{r[i] for r in pairs.collect()} for i in "ab"]
+            seen.append((open_, [{r["node"] for r in cut.collect()} for cut in cuts]))
+        return partial(pairs, *cuts)
+
+    monkeypatch.setattr(Join, "partial", staticmethod(spied))
+    found = {r["id"]: (r["n"], r["component"]) for r in Join(make_docs(copies), 3, 90, 100).run().collect()}
+    assert found == brute_classes(copies, 3, 90, 100)
+    assert seen and seen[0][0][0] and all(len(moved) == 2 and a <= open_[0] and b <= open_[1] for open_, moved in seen for a, b in [moved])
+
+
 def test_shingle_sets_and_bounds(copies):
     sets = list(shingle_sets(copies, 3))
     assert [len(s) for s in sets] == [len(shingles(t, 3)) for t in copies]
