@@ -6,13 +6,13 @@ stands and in whatever script, leaves the same hash in both fingerprints.  A tex
 gram; one with fewer than ``window`` grams is one window; an empty or null text has an empty fingerprint, which is like
 another empty one (1.0) and unlike any other (0.0).  Nothing is normalised.
 
-A text becomes four bytes a code point, so a gram is a slice of bytes at a known place.  Texts go through blocks of
-windows, so that intermediate arrays stay small however long a text is; window minima come from the least of a few values
-at fixed steps.  Hash and position share one long: the upper 54 bits are the hash, the lower ten the position counted from
-the end of the block, so the least value is the rightmost of equal hashes.
-
-An edited text is made of the beginnings of two texts whose fingerprints are known.  What their windows have kept, as far
-as they lie inside, is taken from there; only windows across the seam and at the end are looked at again.
+A text becomes four bytes a code point, so a gram is a slice of bytes at a known place.  Texts are cut into blocks of
+BLOCK windows, a row each, and every gram of a block is a column of its own: hashes, minima of four and minima of sixteen
+are plain expressions that Spark compiles, where a lambda over an array is interpreted for every gram.  So many columns
+also keep these steps out of one generated method, which would be too long for the JVM to compile.  Hash and position
+share one long: the upper 54 bits are the hash, the lower ten the position counted from the end of the block, so the least
+value is the rightmost of equal hashes.  A block knows the window before its first, so no gram is kept by two blocks.
+The blocks of a row meet again where the row was; nothing is moved for that.
 
 The next document in the order of ids comes from a window inside id ranges; their number follows that of the rows, and the
 first row of each range also goes to the range before it, so nothing is ever sorted in one task.  Rows that repeat an id
@@ -29,86 +29,73 @@ from pyspark.sql import functions as F
 K, WINDOW = 8, 16
 GUARANTEE = K + WINDOW - 1
 #: Windows of a block, and the bits of a position in it.
-BLOCK, BITS = 960, 10
+BLOCK, BITS = 112, 10
 LOW = (1 << BITS) - 1
+#: Stands above all values of grams.
+NONE = 2**63 - 1
 #: Rows of an id range; ranges that are cut by quantiles, and in all.
 RANGE, QUANTILES, RANGES = 512, 4096, 1 << 20
 
-NONE = "array<struct<h:bigint,p:int>>"
-
-
 def _let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it in ``body``."""
     return F.transform(F.array(value), body)[0]
 
 
-def fingerprint(text: Column, k: int = K, window: int = WINDOW) -> Column:
-    """array<struct<h: bigint, p: int>>: the kept grams of a text, by position."""
-    step = int(window**0.5)
-    assert step * step == window, "the window is a square"
+def blocks(text: Column, which: int, k: int = K, window: int = WINDOW) -> Column:
+    """array<struct>: the blocks of a text, one at least.
 
-    def least(values: Column, at: int) -> Column:
-        """Of every value the least of ``step`` values from it on, ``at`` apart; where fewer follow than that, of those."""
-        rest = F.greatest(F.size(values) - at * (step - 1), F.lit(1))
-        return F.transform(F.slice(values, F.lit(1), rest), lambda v, i: F.least(v, *[F.get(values, i + at * j) for j in range(1, step)]))
+    which: as given; s: the first window; n: grams of the block, counted from the one before s; w: its windows; c: the
+    code points from the one before s on, four bytes each.
+    """
 
-    def block(units: Column, start: Column, grams: Column) -> Column:
-        here = F.least(grams - start, F.lit(BLOCK + window - 1))
+    def cut(units: Column) -> Column:
+        chars = (F.octet_length(units) / 4).cast("int") - 1
         # A slice beyond the end is cut, so a text shorter than a gram is one gram.
-        places = F.sequence(start * 4 + 1, (start + here) * 4 - 3, F.lit(4))
-        values = F.transform(places, lambda at, i: F.shiftleft(F.xxhash64(F.substring(units, at, F.lit(4 * k))), BITS) + (F.lit(LOW) - i))
-        kept = lambda v: F.when(F.size(v) < window, F.array(F.array_min(v))).otherwise(F.array_distinct(_let(least(v, 1), lambda w: least(w, step))))
-        return F.transform(_let(values, kept), lambda v: F.struct(F.shiftrightunsigned(v, BITS).alias("h"), (start + F.lit(LOW) - v.bitwiseAND(F.lit(LOW))).cast("int").alias("p")))
-
-    def whole(units: Column) -> Column:
-        n = F.floor(F.octet_length(units) / 4).cast("int")
-        grams = F.greatest(n - (k - 1), F.lit(1))
-        starts = F.sequence(F.lit(0), F.greatest(grams - window, F.lit(0)), F.lit(BLOCK))
-        blocks = lambda g: F.flatten(F.transform(starts, lambda s: block(units, s, g)))
-        # The last gram kept by a block can be the first of the next one.
-        return _let(_let(grams, blocks), lambda kept: F.filter(kept, lambda g, i: (i == 0) | (g["p"] != F.get(kept, i - 1)["p"])))
+        grams = F.when(chars == 0, 0).otherwise(F.greatest(chars - (k - 1), F.lit(1)))
+        windows = F.least(grams, F.greatest(grams - (window - 1), F.lit(1)))
+        block = lambda s: F.struct(
+            F.lit(which).alias("which"), s.alias("s"), F.least(grams - s + 1, F.lit(BLOCK + window)).alias("n"), F.least(windows - s, F.lit(BLOCK)).alias("w"),
+            F.substring(units, s * 4 + 1, F.lit(4 * (BLOCK + window + k - 1))).alias("c"),
+        )
+        return F.transform(F.sequence(F.lit(0), F.greatest(windows - 1, F.lit(0)), F.lit(BLOCK)), block)
 
-    none = F.array().cast(NONE)
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, none).otherwise(_let(F.encode(text, "UTF-32"), whole))
+    # One code point stands before the text, as there is one before every other block.
+    return _let(F.concat(F.lit(bytes(4)), F.encode(F.coalesce(text, F.lit("")), "UTF-32")), cut)
 
 
-def joined(n_first: Column, own: Column, n_second: Column, other: Column, whole: Column, k: int = K, window: int = WINDOW) -> Column:
-    """The fingerprint of ``whole``: the first ``n_first`` code points of one text, then the first ``n_second`` of another.
+def winnow(rows: DataFrame, keys: list[str], texts: list[str], k: int = K, window: int = WINDOW) -> DataFrame:
+    """``rows`` with what winnowing keeps of each of ``texts`` in its place: struct<p: array<int>, h: array<bigint>>, by position.
 
-    ``own`` and ``other`` are the fingerprints of both texts.  The numbers must be plain columns: lambdas evaluate them for
-    every gram.
+    Rows differ in ``keys``.  If ``rows`` are partitioned by some of these, nothing is moved.
     """
-    grams, grams_2 = n_first - (k - 1), n_second - (k - 1)  # inside either part
-    moved = lambda prints, by: F.transform(prints, lambda g: F.struct(g["h"].alias("h"), (g["p"] + by).cast("int").alias("p")))
-
-    def again(start: Column, size: Column) -> Column:
-        """What windows inside a slice of the whole keep."""
-        return moved(fingerprint(F.substring(whole, start + 1, size), k, window), start)
-
-    # A kept gram belongs to a window that starts there or before, so up to the last window inside a part its prints hold.
-    head = F.filter(own, lambda g: g["p"] <= grams - window)
-    seam_at = F.greatest(grams - 2 * window + 2, F.lit(0))
-    seam = F.filter(again(seam_at, n_first + window + k - 2 - seam_at), lambda g: g["p"] > grams - window)
-    end_at = n_first + F.greatest(grams_2 - 2 * window + 2, F.lit(0))
-    end = F.filter(again(end_at, n_first + n_second - end_at), lambda g: g["p"] > n_first + grams_2 - window)
-    second = F.when(grams_2 < window, F.array().cast(NONE)).otherwise(F.concat(moved(F.filter(other, lambda g: g["p"] <= grams_2 - window), n_first), end))
-    # Only the first grams of the second part can be kept by windows across the seam as well as by its own.
-    beyond = n_first + window - 1
-
-    def merged(seam: Column, second: Column) -> Column:
-        near = F.array_sort(F.array_distinct(F.concat(F.filter(seam, lambda g: g["p"] >= n_first), F.filter(second, lambda g: g["p"] < beyond))), lambda a, b: a["p"] - b["p"])
-        return F.concat(head, F.filter(seam, lambda g: g["p"] < n_first), near, F.filter(second, lambda g: g["p"] >= beyond))
-
-    once = _let(seam, lambda x: _let(second, lambda y: merged(x, y)))
-    # Short texts have windows of their own kind.
-    return F.when((n_first + n_second < 4 * (window + k)) | (n_second == 0), fingerprint(whole, k, window)).otherwise(once)
+    step = int(window**0.5)
+    assert step * step == window, "the window is a square"
+    rest = [c for c in rows.columns if c not in (*keys, *texts)]
+    cut = rows.select(*keys, F.struct(F.lit(0).alias("_"), *rest).alias("_rest"), F.explode(F.concat(*[blocks(F.col(t), i, k, window) for i, t in enumerate(texts)])).alias("_b"))
+    # Not inside a condition, so that the slice of code points is read once for all grams.
+    value = "greatest(shiftleft(xxhash64(substring(_b.c, {at}, {size})), {bits}) | {low}L, if({i} < _b.n, {least}L, {none}L))"
+    names = [*keys, "_which", "_s", "_w", "_rest"]
+    grams = cut.selectExpr(
+        *keys, "_b.which AS _which", "_b.s AS _s", "_b.w AS _w", "if(_b.s = 0 AND _b.which = 0, _rest, null) AS _rest",
+        *[f"{value.format(at=4 * i + 1, size=4 * k, bits=BITS, low=LOW - i, i=i, least='-' + str(2**63 - 1), none=NONE)} AS _v{i}" for i in range(BLOCK + window)],
+    )
+    # Minima of the first grams, then of these: window i begins at the gram before s + i.
+    few = grams.selectExpr(*names, *[f"least({', '.join(f'_v{i + j}' for j in range(step))}) AS _a{i}" for i in range(BLOCK + 1 + window - step)])
+    least = few.selectExpr(*names, *[f"least({', '.join(f'_a{i + step * j}' for j in range(step))}) AS _m{i}" for i in range(BLOCK + 1)])
+    new = lambda i: f"{i} <= _w AND ({'_s = 0 OR ' if i == 1 else ''}_m{i} <> _m{i - 1})"
+    kept = lambda what: f"array_remove(array({', '.join(f'if({new(i)}, {what.format(m=f'_m{i}')}, -1)' for i in range(1, BLOCK + 1))}), -1)"
+    found = least.selectExpr(*names, f"{kept(f'_s + {LOW - 1} - cast({{m}} & {LOW}L AS int)')} AS p", f"{kept(f'shiftrightunsigned({{m}}, {BITS})')} AS h")
+    lists = [F.collect_list(F.when(F.col("_which") == i, F.struct("_s", "p", "h"))).alias(f"_l{i}") for i in range(len(texts))]
+    whole = found.groupBy(*keys).agg(F.first("_rest", ignorenulls=True).alias("_rest"), *lists)
+    ordered = whole.select(*keys, "_rest", *[F.sort_array(f"_l{i}").alias(f"_l{i}") for i in range(len(texts))])
+    prints = [F.struct(F.flatten(f"_l{i}.p").alias("p"), F.flatten(f"_l{i}.h").alias("h")).alias(t) for i, t in enumerate(texts)]
+    return ordered.select(*keys, *[F.col(f"_rest.{c}").alias(c) for c in rest], *prints)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of the hashes of two fingerprints."""
-    x, y = F.array_distinct(a["h"]), F.array_distinct(b["h"])
-    both = F.size(F.array_intersect(x, y))
-    either = F.size(x) + F.size(y) - both
+    """Jaccard similarity of two sets of hashes without repeats."""
+    both = F.size(F.array_intersect(a, b))
+    either = F.size(a) + F.size(b) - both
     return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
 
 
@@ -117,9 +104,18 @@ def as_text(a: Column) -> Column:
     return F.concat(F.array_join(a["p"].cast("array<string>"), ","), F.lit("|"), F.array_join(a["h"].cast("array<string>"), ","))
 
 
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs by ranges, with ``_row``, their number in the range, and ``_after``, the text that follows."""
+    order = Window.partitionBy("_range").orderBy("_edge", "_key", text_col)
+    # The exchange comes first, so that only ids and texts are moved.
+    ranged = in_ranges(docs, id_col).repartition(F.col("_range"))
+    return ranged.withColumns({"_row": F.row_number().over(order), "_after": F.lead(text_col).over(order)}).drop("_key")
+
+
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col and ``prints``: what winnowing keeps of every text; positions count code points."""
-    return docs.select(id_col, fingerprint(F.col(text_col)).alias("prints"))
+    rows = numbered(docs.select(id_col, text_col), id_col, text_col).where(~F.col("_edge")).select("_range", "_row", id_col, F.col(text_col).alias("_text"))
+    return winnow(rows, ["_range", "_row"], ["_text"]).select(id_col, F.col("_text").alias("prints"))
 
 
 def in_ranges(docs: DataFrame, id_col: str, rows: int = RANGE, quantiles: int = QUANTILES, most: int = RANGES) -> DataFrame:
@@ -163,17 +159,16 @@ def op7_fingerprints(spark, sf_dir: str) -> DataFrame:
     from kvlake.llm.common import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # The exchange comes first, so that only ids and texts are moved.
-    ranged = in_ranges(docs, "doc_id").repartition(F.col("_range")).withColumn("_prints", fingerprint(F.col("text")))
-    order = Window.partitionBy("_range").orderBy("_edge", "_key", "text")
-    after = ranged.withColumn("_next", F.lead(F.struct("text", "_prints")).over(order)).where(~F.col("_edge"))
+    sized = numbered(docs, "doc_id", "text").withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    sized = after.withColumn("n_chars", F.length("text").cast("long")).withColumns({"_kept": F.col("n_chars").cast("int") - half, "_taken": F.least(half, F.length("_next.text"))})
-    edited = sized.withColumn("_edited", F.concat(F.substring("text", F.lit(1), F.col("_kept")), F.substring(F.col("_next.text"), F.lit(1), F.col("_taken"))))
-    prints = joined(F.col("_kept"), F.col("_prints"), F.col("_taken"), F.col("_next._prints"), F.col("_edited"))
-    printed = edited.select("doc_id", "n_chars", "_prints", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), prints.alias("_edited_prints"), F.col("_next._prints").alias("_next_prints"))
-    return printed.select(
+    edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("_after", F.lit(1), half))
+    # Of the row at an edge only the own fingerprint is asked for.
+    changed = sized.select("_range", "_row", "_edge", "doc_id", "n_chars", "text", F.when(F.col("_edge"), F.lit("")).otherwise(edited).alias("_edited"))
+    prints = winnow(changed.withColumn("edited_sha256", F.sha2(F.col("_edited").cast("binary"), 256)), ["_range", "_row"], ["text", "_edited"])
+    sets = prints.withColumns({"_own": F.array_distinct("text.h"), "_new": F.array_distinct("_edited.h")})
+    after = sets.withColumn("_next", F.lead("_own").over(Window.partitionBy("_range").orderBy("_row"))).where(~F.col("_edge"))
+    return after.select(
         "doc_id", "n_chars", "edited_sha256",
-        as_text(F.col("_prints")).alias("fingerprint"), as_text(F.col("_edited_prints")).alias("edited_fingerprint"),
-        likeness(F.col("_prints"), F.col("_edited_prints")).alias("near_edited"), likeness(F.col("_prints"), F.col("_next_prints")).alias("near_next"),
+        as_text(F.col("text")).alias("fingerprint"), as_text(F.col("_edited")).alias("edited_fingerprint"),
+        likeness(F.col("_own"), F.col("_new")).alias("near_edited"), likeness(F.col("_own"), F.col("_next")).alias("near_next"),
     )

@@ -225,6 +225,25 @@ def test_fingerprints_are_native(spark, make_docs, tables):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_grams_are_compiled(spark, make_docs, tables):
+    """Hashes and minima stand outside lambdas, which Spark interprets gram by gram, and in no generated method of a whole stage."""
+    plan = op7_fingerprints(spark, tables(documents=make_docs(["a b c"])))._jdf.queryExecution().executedPlan().toString()
+    steps = [line for line in plan.splitlines() if "xxhash64(" in line or "least(_" in line or "array_remove(" in line]
+    assert len(steps) >= 3 and not any("lambda" in line or "*(" in line for line in steps)
+
+
+def test_fingerprint_blocks(spark, make_docs):
+    """Texts of lengths around those at which blocks begin and end, with ties, in the operator's own form."""
+    from kvlake.llm.winnowing import BLOCK, fingerprint_documents
+
+    draw = random.Random(21)
+    texts = ["".join(draw.choice("ab" if i % 2 else "abcdefghij 文") for _ in range(n * BLOCK + d)) for n in (1, 2, 3) for i, d in enumerate((-1, 0, 1, 15, 21, 22, 23, 24, 25))] + ["a" * 3 * BLOCK, "", None]
+    rows = {r["doc_id"]: r["prints"] for r in fingerprint_documents(make_docs(texts)).collect()}
+    assert len(rows) == len(texts)
+    for i, text in enumerate(texts):
+        assert list(zip(rows[i]["p"], rows[i]["h"], strict=True)) == brute_print(text or ""), len(text or "")
+
+
 def test_guarantee():
     draw = random.Random(9)
     for _ in range(40):
