@@ -14,6 +14,9 @@ share one long: the upper 54 bits are the hash, the lower ten the position count
 value is the rightmost of equal hashes.  A block knows the window before its first, so no gram is kept by two blocks.
 The blocks of a row meet again where the row was; nothing is moved for that.
 
+An edited text is made of the beginnings of two texts whose fingerprints are known, so only windows around the seam and
+at the end are looked at again.
+
 The next document in the order of ids comes from a window inside id ranges; their number follows that of the rows, and the
 first row of each range also goes to the range before it, so nothing is ever sorted in one task.  Rows that repeat an id
 follow each other by text; a null id comes first.  An empty table gives an empty result.  Only id and text are read,
@@ -31,6 +34,8 @@ GUARANTEE = K + WINDOW - 1
 #: Windows of a block, and the bits of a position in it.
 BLOCK, BITS = 112, 10
 LOW = (1 << BITS) - 1
+#: Code points to either side of a seam that windows around a gram near it reach, and those that make a part long.
+REACH, LONG = K + 2 * WINDOW - 3, 4 * (K + WINDOW)
 #: Stands above all values of grams.
 NONE = 2**63 - 1
 #: Rows of an id range; ranges that are cut by quantiles, and in all.
@@ -83,8 +88,8 @@ def winnow(rows: DataFrame, keys: list[str], texts: list[str], k: int = K, windo
     few = grams.selectExpr(*names, *[f"least({', '.join(f'_v{i + j}' for j in range(step))}) AS _a{i}" for i in range(BLOCK + 1 + window - step)])
     least = few.selectExpr(*names, *[f"least({', '.join(f'_a{i + step * j}' for j in range(step))}) AS _m{i}" for i in range(BLOCK + 1)])
     new = lambda i: f"{i} <= _w AND ({'_s = 0 OR ' if i == 1 else ''}_m{i} <> _m{i - 1})"
-    kept = lambda what: f"array_remove(array({', '.join(f'if({new(i)}, {what.format(m=f'_m{i}')}, -1)' for i in range(1, BLOCK + 1))}), -1)"
-    found = least.selectExpr(*names, f"{kept(f'_s + {LOW - 1} - cast({{m}} & {LOW}L AS int)')} AS p", f"{kept(f'shiftrightunsigned({{m}}, {BITS})')} AS h")
+    kept = least.selectExpr(*names, f"array_remove(array({', '.join(f'if({new(i)}, _m{i}, {NONE}L)' for i in range(1, BLOCK + 1))}), {NONE}L) AS _k")
+    found = kept.selectExpr(*names, f"transform(_k, v -> _s + {LOW - 1} - cast(v & {LOW}L AS int)) AS p", f"transform(_k, v -> shiftrightunsigned(v, {BITS})) AS h")
     lists = [F.collect_list(F.when(F.col("_which") == i, F.struct("_s", "p", "h"))).alias(f"_l{i}") for i in range(len(texts))]
     whole = found.groupBy(*keys).agg(F.first("_rest", ignorenulls=True).alias("_rest"), *lists)
     ordered = whole.select(*keys, "_rest", *[F.sort_array(f"_l{i}").alias(f"_l{i}") for i in range(len(texts))])
@@ -92,6 +97,48 @@ def winnow(rows: DataFrame, keys: list[str], texts: list[str], k: int = K, windo
     return ordered.select(*keys, *[F.col(f"_rest.{c}").alias(c) for c in rest], *prints)
 
 
+def part(prints: Column, before: Column, within: Column, by: Column) -> tuple[Column, Column]:
+    """``within`` positions after the first ``before`` ones, moved ``by``, and the hashes there."""
+    return F.transform(F.slice(prints["p"], before + 1, within), lambda p: (p + by).cast("int")), F.slice(prints["h"], before + 1, within)
+
+
+def seams(rows: DataFrame, whole: str) -> DataFrame:
+    """rows with what must be winnowed anew of a text made of the first ``_kept`` code points of one and ``_taken`` of another.
+
+    Whether a gram is kept depends on the windows around it alone, so where these lie inside either part, its prints hold.
+    ``_mid`` has the code points around the seam, from ``_mid_at`` on, and ``_end`` the last ones.  Of a short second part
+    ``_mid`` has all and ``_end`` nothing, of a short first part ``_mid`` is the whole.
+    """
+    kept, taken = F.col("_kept"), F.col("_taken")
+    at = F.when(kept >= LONG, kept - REACH).otherwise(0)
+    chars = F.when((kept >= LONG) & (taken >= LONG), F.lit(2 * REACH)).otherwise(kept + taken - F.col("_mid_at"))
+    end = F.when((kept >= LONG) & (taken >= LONG), F.substring(whole, kept + taken - (REACH - 1), F.lit(REACH))).otherwise("")
+    return rows.withColumn("_mid_at", at).withColumns({"_mid": F.substring(whole, F.col("_mid_at") + 1, chars), "_end": end})
+
+
+def joined(rows: DataFrame, own: str, other: str, out: str) -> DataFrame:
+    """rows with ``out``, the prints of such a text, from those of both texts and of ``_mid`` and ``_end``."""
+    kept, taken, at = F.col("_kept"), F.col("_taken"), F.col("_mid_at")
+    first, both = kept >= LONG, (kept >= LONG) & (taken >= LONG)
+    inside = K + WINDOW - 1  # code points of a window
+    upto = lambda prints, last: F.size(F.filter(F.col(f"{prints}.p"), lambda p: p <= last))
+    # The numbers are columns, so that each is counted once: what of every part lies before and up to its last place.
+    bounds = rows.withColumns({"_own_last": kept - inside, "_other_last": taken - inside, "_mid_first": F.when(first, F.lit(REACH - inside)).otherwise(-1), "_mid_last": F.when(both, F.lit(REACH + WINDOW - 2)).otherwise(2**31 - 1)})
+    counts = bounds.withColumns({
+        "_own_to": F.when(first, upto(own, F.col("_own_last"))).otherwise(0),
+        "_mid_from": upto("_mid", F.col("_mid_first")), "_mid_to": upto("_mid", F.col("_mid_last")),
+        "_other_from": F.size(F.filter(F.slice(F.col(f"{other}.p"), 1, WINDOW - 1), lambda p: p < WINDOW - 1)), "_other_to": F.when(both, upto(other, F.col("_other_last"))).otherwise(0),
+        "_end_from": upto("_end", F.lit(REACH - inside)),
+    })
+    parts = [
+        tuple(F.slice(F.col(f"{own}.{c}"), F.lit(1), F.col("_own_to")) for c in "ph"),
+        part(F.col("_mid"), F.col("_mid_from"), F.col("_mid_to") - F.col("_mid_from"), at),
+        part(F.col(other), F.col("_other_from"), F.greatest(F.col("_other_to") - F.col("_other_from"), F.lit(0)), kept),
+        part(F.col("_end"), F.col("_end_from"), F.size(F.col("_end.p")) - F.col("_end_from"), kept + taken - REACH),
+    ]
+    return counts.withColumn(out, F.struct(F.concat(*[p for p, _ in parts]).alias("p"), F.concat(*[h for _, h in parts]).alias("h")))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard similarity of two sets of hashes without repeats."""
     both = F.size(F.array_intersect(a, b))
@@ -161,14 +208,17 @@ def op7_fingerprints(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sized = numbered(docs, "doc_id", "text").withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("_after", F.lit(1), half))
+    cut = sized.withColumns({"_kept": F.col("n_chars").cast("int") - half, "_taken": F.least(half, F.length("_after"))})
+    whole = F.concat(F.substring("text", F.lit(1), F.col("_kept")), F.substring("_after", F.lit(1), F.col("_taken")))
     # Of the row at an edge only the own fingerprint is asked for.
-    changed = sized.select("_range", "_row", "_edge", "doc_id", "n_chars", "text", F.when(F.col("_edge"), F.lit("")).otherwise(edited).alias("_edited"))
-    prints = winnow(changed.withColumn("edited_sha256", F.sha2(F.col("_edited").cast("binary"), 256)), ["_range", "_row"], ["text", "_edited"])
-    sets = prints.withColumns({"_own": F.array_distinct("text.h"), "_new": F.array_distinct("_edited.h")})
-    after = sets.withColumn("_next", F.lead("_own").over(Window.partitionBy("_range").orderBy("_row"))).where(~F.col("_edge"))
+    edited = seams(cut.withColumn("_edited", F.when(F.col("_edge"), F.lit("")).otherwise(whole)), "_edited")
+    hashed = edited.withColumn("edited_sha256", F.sha2(F.col("_edited").cast("binary"), 256))
+    prints = winnow(hashed.select("_range", "_row", "_edge", "doc_id", "n_chars", "edited_sha256", "_kept", "_taken", "_mid_at", "text", "_mid", "_end"), ["_range", "_row"], ["text", "_mid", "_end"])
+    follow = Window.partitionBy("_range").orderBy("_row")
+    known = prints.withColumn("_own", F.array_distinct("text.h")).withColumns({"_next": F.lead("text").over(follow), "_others": F.lead("_own").over(follow)}).where(~F.col("_edge"))
+    after = joined(known, "text", "_next", "_edited").withColumn("_new", F.array_distinct("_edited.h"))
     return after.select(
         "doc_id", "n_chars", "edited_sha256",
         as_text(F.col("text")).alias("fingerprint"), as_text(F.col("_edited")).alias("edited_fingerprint"),
-        likeness(F.col("_own"), F.col("_new")).alias("near_edited"), likeness(F.col("_own"), F.col("_next")).alias("near_next"),
+        likeness(F.col("_own"), F.col("_new")).alias("near_edited"), likeness(F.col("_own"), F.col("_others")).alias("near_next"),
     )

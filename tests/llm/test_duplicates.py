@@ -244,6 +244,14 @@ def test_fingerprint_blocks(spark, make_docs):
         assert list(zip(rows[i]["p"], rows[i]["h"], strict=True)) == brute_print(text or ""), len(text or "")
 
 
+def test_edited_texts_are_looked_at_near_the_seam_only(spark):
+    from kvlake.llm.winnowing import LONG, REACH, seams
+
+    rows = spark.createDataFrame([("x" * (a + b), a, b) for a, b in ((5000, 4000), (5000, LONG - 1), (LONG - 1, 40))], "whole string, _kept int, _taken int")
+    found = [(r["_mid_at"], len(r["_mid"]), len(r["_end"])) for r in seams(rows, "whole").collect()]
+    assert found == [(5000 - REACH, 2 * REACH, REACH), (5000 - REACH, REACH + LONG - 1, 0), (0, LONG + 39, 0)]
+
+
 def test_guarantee():
     draw = random.Random(9)
     for _ in range(40):
