@@ -112,6 +112,37 @@ class Order:
         return np.where(self.level(found) > 0, FRAGMENTS - 1, ranged).astype(np.int64)
 
 
+def counted_cells(sets, bits: int, held: int = HELD):
+    """Counts of the leading bits of all hashes, as lists of rows (cell, counters, numbers); ``held`` hashes are counted together.
+
+    They are sorted where they stand and counted cell by cell, so that nothing else of their size is in memory.
+    """
+    buffer, many = np.empty(held, np.uint64), 0
+
+    def rows():
+        values = buffer[:many]
+        values.sort()
+        cut, ends, at = np.uint64(CELL), [], 0
+        while at < many:
+            ends.append(at := int(np.searchsorted(values, ((values[at] >> cut) + np.uint64(1)) << cut)))
+        out = []
+        for a, b in zip([0, *ends], ends, strict=False):
+            counters, numbers = np.unique(values[a:b], return_counts=True)
+            out.append((int(counters[0] >> cut), packed(counters & np.uint64((1 << CELL) - 1)), packed_small(numbers.astype(np.uint32))))
+        return out
+
+    for found in sets:
+        while len(found):
+            part = found[: held - many]
+            buffer[many : many + len(part)] = part >> np.uint64(64 - bits)
+            many, found = many + len(part), found[len(part) :]
+            if many == held:
+                yield rows()
+                many = 0
+    if many:
+        yield rows()
+
+
 def count_order(docs: DataFrame, n: int, text_col: str = "text") -> Order:
     """Count the shingles of all documents; only the common ones, at most MOST, reach the driver."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
@@ -120,26 +151,11 @@ def count_order(docs: DataFrame, n: int, text_col: str = "text") -> Order:
     def run(batches):
         import pyarrow as pa
 
-        held, many = [], 0
-
-        def counted():
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            cells = values >> np.uint64(CELL)
-            starts = np.flatnonzero(np.diff(cells, prepend=cells[0] + np.uint64(1)))
-            rows = [(int(cells[a]), packed(values[a:b] & np.uint64((1 << CELL) - 1)), packed_small(counts[a:b].astype(np.uint32))) for a, b in zip(starts, [*starts[1:], len(values)], strict=True)]
+        sets = (found for batch in batches for found in shingle_sets(batch.column(0).to_pylist(), n))
+        for rows in counted_cells(sets, bits):
             cell, counters, numbers = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(counters, pa.binary()), pa.array(numbers, pa.binary())], names=["cell", "counters", "numbers"])
 
-        for batch in batches:
-            for found in shingle_sets(batch.column(0).to_pylist(), n):
-                held.append(found >> np.uint64(64 - bits))
-                many += len(found)
-                if many >= HELD:
-                    yield from counted()
-                    held, many = [], 0
-        if many:
-            yield from counted()
-
     def total(table):
         import pyarrow as pa
 

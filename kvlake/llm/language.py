@@ -33,7 +33,7 @@ SAMPLE, BUCKETS, SWITCH = 8000, 1 << 15, 8.0
 #: A word speaks for or against a language by this much at most; a script counts for a language from this share on.
 MOST, SHARE = 12.0, 0.01
 #: Words that go through the recursion together.
-TOGETHER = 500_000
+TOGETHER = 250_000
 
 # First code points of script ranges, in order.
 SCRIPTS = [0x0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0x980, 0xA00, 0xB80, 0xC00, 0xE00, 0xE80, 0xF00, 0x1000, 0x10A0, 0x1100, 0x1200, 0x1780, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x3100, 0x3130, 0x3190, 0xAC00, 0xD7B0, 0x10000, 0x20000]

@@ -177,12 +177,16 @@ def cut_pieces(docs: DataFrame, encode, capacity: int, end_id: int, id_col: str
 
 def pack(pieces: DataFrame, capacity: int, id_col: str = "doc_id") -> DataFrame:
     """Add sequence_id and offset to pieces (id_col, piece, length <= capacity)."""
+    import pyarrow as pa
+
     spark = pieces.sparkSession
     demand = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in pieces.groupBy("length").count().collect():
         demand[length] = n
     rows = intervals(plan_sequences(demand, capacity), capacity)
-    plan = spark.createDataFrame(rows, "_length long, _first long, _end long, _sequence long, _copies long, _offset long")
+    names = ["_length", "_first", "_end", "_sequence", "_copies", "_offset"]
+    # From Arrow the JVM reads it; rows of Python would start a second family of Python workers, which stay, in every executor.
+    plan = spark.createDataFrame(pa.table({c: pa.array([r[i] for r in rows], pa.int64()) for i, c in enumerate(names)}), ", ".join(f"{c} long" for c in names))
     ranked = rank_in_groups(pieces, ["length"], [F.col(id_col), F.col("piece")], "_rank", F.xxhash64(id_col, "piece"), 128)
     # The plan's size follows the number of lengths (at most ``capacity``), not of pieces.
     placed = ranked.join(F.broadcast(plan), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end")))

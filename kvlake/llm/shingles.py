@@ -8,8 +8,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _U = np.uint64
 _BYTE = np.random.default_rng(20240229).integers(0, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-#: Bytes of text hashed together; a longer document stands alone.
-CHUNK = 1 << 20
+#: Bytes of text hashed together; a longer document stands alone.  A worker takes some 40 bytes of memory for each.
+CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
