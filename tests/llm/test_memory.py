@@ -84,3 +84,17 @@ def test_packing_plan_starts_no_other_workers(spark):
     assert len(placed) == 50
     for (s, o, n), (t, p, _) in zip(placed, placed[1:]):
         assert p == (o + n if s == t else 0) and o + n <= 16
+
+
+def test_overlaps_take_one_worker_a_task(spark):
+    """Fragments are picked without Python: two maps in a task would hold two workers, and those stay for later stages."""
+    from kvlake.llm.jaccard_join import Join
+
+    part = np.arange(5, dtype=np.uint64).tobytes()
+    cut = spark.createDataFrame([(i, i, f, part) for i in range(4) for f in (1, 2)], "node long, s1 long, f int, part binary")
+    pairs = spark.sql("select 0L a, 1L b, 0L sa, 1L sb")
+    sides = [Join.only(cut, pairs.selectExpr(f"{i} as node")) for i in "ab"]
+    assert [sorted(r["node"] for r in side.collect()) for side in sides] == [[0, 0], [1, 1]]
+    out = Join.partial(pairs, *sides)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert [tuple(r) for r in out.collect()] == [(0, 1, 5, 5, 5)] * 2
